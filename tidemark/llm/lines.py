@@ -27,10 +27,10 @@ def line_windows(docs: DataFrame, window: int) -> DataFrame:
     return spots.select("doc_id", "at", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
-    """doc_id, text, n_lines, n_removed of each document of docs (doc_id, text); text has the kept lines."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+def dedup_lines(docs: DataFrame, window: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_lines, n_removed and the columns `carry` of each document of docs (doc_id, text); text has the kept lines."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry).alias("d"))
+    docs = docs.groupBy("doc_id").agg(F.min("d").alias("d")).select("doc_id", "d.*")
     spots = line_windows(docs, window)
     # Partial sums leave one row for each window and task, so a line that is everywhere stays cheap;
     # the written table lets Spark split a hot window in the join that follows.
@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct("gone")))
-    return joined.select("doc_id", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return joined.select("doc_id", text.alias("text"), *carry, F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 ORACLE = """
