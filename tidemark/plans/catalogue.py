@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits
+from tidemark.operators import recurrences as R
 from tidemark.operators import series as S
 from tidemark.operators import similarity as N
 
@@ -381,3 +382,31 @@ def windowed_knn(spark: SparkSession, d: str) -> DataFrame:
     dist: Column = F.aggregate(F.zip_with("win", F.array(*[F.lit(x).cast("bigint") for x in (10_000, 20_000, 30_000, 40_000)]), lambda a, b: (a - b) * (a - b)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     ranked = wins.withColumn("dist", dist).withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("dist", "i")))
     return ranked.where("r <= 2").select("user_id", "i", "dist")
+
+
+# ---- recurrences and bytes (round trips) -----------------------------------------------
+
+_EXACT = E + "SELECT user_id, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM e GROUP BY user_id"
+
+
+def _mismatches(column: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = R.forecast_series(events(spark, d), USER, "q")
+        return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col(column) != F.col("q")).alias("mismatches"))
+
+    return run
+
+
+QUERIES["fire_roundtrip"] = Query(_mismatches("residual_back"), _EXACT)
+QUERIES["moving_avg_roundtrip"] = Query(_mismatches("average_back"), _EXACT)
+QUERIES["fire_encode"] = Query(lambda spark, d: R.forecast_series(events(spark, d), USER, "q").select("user_id", "event_id", "residual"), None)
+QUERIES["binary_codec_roundtrip"] = Query(lambda spark, d: R.encode_series(events(spark, d), USER, ["q"]).select("user_id", "n_rows", "raw_bytes", "exact"), E + "SELECT user_id, count(*) AS n_rows, count(*) * 2 AS raw_bytes, true AS exact FROM e GROUP BY user_id")
+QUERIES["byte_sizes"] = Query(lambda spark, d: R.encode_series(events(spark, d), USER, ["q"]).select("user_id", "packed_bytes", "bzip2_bytes"), None)
+
+# ---- Spark's own operators, beyond the series ------------------------------------------
+
+QUERIES["cube_counts"] = Query(lambda spark, d: table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+QUERIES["semi_join"] = Query(lambda spark, d: table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+QUERIES["anti_join"] = Query(lambda spark, d: table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+QUERIES["set_except"] = Query(lambda spark, d: table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+QUERIES["set_intersect"] = Query(lambda spark, d: table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
