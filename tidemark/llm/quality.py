@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of whole texts.
 
-Trees are fitted on the driver, on at most `max_train` labelled rows (the least by a hash of
-the id); everything is scored. Null and empty texts have statistics of zero and get a score
+Trees are fitted on the driver, on about `max_train` labelled rows at most (a hash of the id
+draws them); everything is scored. Null and empty texts have statistics of zero and get a score
 too. Labels that are null or whose row is held out are not learned from; an id with several
 labels counts as its mean. Without any label the score is 0.5. Input columns other than id
 and text are ignored.
@@ -49,7 +49,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
     """doc_id, held_out, score of each row of docs (doc_id, text); labels (doc_id, quality)."""
     stats = measured(docs)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out("doc_id", folds, fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
-    train = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).toPandas()
+    # A hash of the id draws the rows: a sorted limit would send max_train rows of each task to the driver.
+    share = min(1.0, max_train / max(1, known.count()))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    train = stats.join(drawn, "doc_id").toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array(train["stats"].tolist(), np.float32).reshape(len(train), -1) if len(train) else np.zeros((0, 1), np.float32)
     model = L.fit_trees(x, (train["quality"].to_numpy(float) >= 0.5).astype(float))
     return stats.mapInArrow(_scored(model), "doc_id long, score double").select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score")
