@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import learners as L
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import materialise, small
 
 
 def _features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -63,7 +63,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_train: int = 2_000) -> tu
     share = [F.lit(min(1.0, max_train / max(1, len(domains)) / sizes[d])) for d in domains]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     drawn = labels.where(draw < F.create_map(*[x for d, s in zip(domains, share, strict=True) for x in (F.lit(d), s)])[F.col("domain")]) if domains else labels
-    sample = docs.join(drawn, "doc_id").select("doc_id", "domain", "text").mapInArrow(_vectors, "doc_id long, domain string, at binary, x binary").collect() if domains else []
+    # The drawn ids are few whatever the input: texts are not shuffled to meet them.
+    sample = docs.join(small(drawn), "doc_id").select("doc_id", "domain", "text").mapInArrow(_vectors, "doc_id long, domain string, at binary, x binary").collect() if domains else []
     sample.sort(key=lambda r: (r.doc_id, r.domain))
     domains = sorted({r.domain for r in sample}) or ["all"]
     rows = [(np.frombuffer(r.at, np.uint16).astype(int), np.frombuffer(r.x, np.float16).astype(float)) for r in sample]
