@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits
+from tidemark.operators import codecs, learned
 from tidemark.operators import recurrences as R
 from tidemark.operators import series as S
 from tidemark.operators import similarity as N
@@ -403,6 +405,52 @@ QUERIES["fire_encode"] = Query(lambda spark, d: R.forecast_series(events(spark,
 QUERIES["binary_codec_roundtrip"] = Query(lambda spark, d: R.encode_series(events(spark, d), USER, ["q"]).select("user_id", "n_rows", "raw_bytes", "exact"), E + "SELECT user_id, count(*) AS n_rows, count(*) * 2 AS raw_bytes, true AS exact FROM e GROUP BY user_id")
 QUERIES["byte_sizes"] = Query(lambda spark, d: R.encode_series(events(spark, d), USER, ["q"]).select("user_id", "packed_bytes", "bzip2_bytes"), None)
 
+# ---- filters, block codes, learned and dynamic operators -------------------------------
+
+_BIL = E + """, g AS (SELECT event_id, q, lag(q) OVER w AS a, lead(q) OVER w AS b, max(q) OVER p - min(q) OVER p AS span FROM e WINDOW w AS (PARTITION BY user_id ORDER BY i), p AS (PARTITION BY user_id)),
+t AS (SELECT *, CASE WHEN a IS NULL THEN 0 ELSE 0.25 * (1 - least(abs(q - a) / (span * 0.1 + 1e-10), 1)) END AS ta, CASE WHEN b IS NULL THEN 0 ELSE 0.25 * (1 - least(abs(q - b) / (span * 0.1 + 1e-10), 1)) END AS tb FROM g),
+s AS (SELECT *, (0.5 * q + ta * coalesce(a, 0) + tb * coalesce(b, 0)) / (0.5 + ta + tb) AS smooth FROM t)
+"""
+_simple("bilateral", lambda e: learned.bilateral(e, USER, "q").select("event_id", F.round("smooth", 3).alias("smooth")), _BIL + "SELECT event_id, round(smooth, 3) AS smooth FROM s")
+_simple("clamp_change", lambda e: learned.bilateral(e, USER, "q").select("event_id", F.round(learned.clamp_change(USER, "q", "smooth"), 3).alias("x")), _BIL + "SELECT event_id, round(q + greatest(-0.005 * (span + 1e-10), least(0.005 * (span + 1e-10), smooth - q)), 3) AS x FROM s")
+_simple("block_hash_family", lambda e: learned.block_arrays(e, USER, "q").select("user_id", "block", *[f(F.col("values")).cast("bigint").alias(n) for n, f in learned.BLOCK_HASHES.items()]),
+        E + """, a AS (SELECT user_id, block, list(q ORDER BY pos) AS v FROM e GROUP BY user_id, block HAVING count(*) = 8), m AS (SELECT user_id, block, sum(CASE WHEN q < mean THEN power(2, pos) ELSE 0 END) AS c FROM (SELECT *, avg(q) OVER (PARTITION BY user_id, block) AS mean FROM e) GROUP BY user_id, block)
+SELECT user_id, block, CAST(c AS BIGINT) AS below_mean, v[8] // 256 AS leading, CAST(v[8] // 8192 + CASE WHEN v[1] <= v[8] THEN 8 ELSE 0 END AS BIGINT) AS bits_shape, v[8] // 1024 - (v[8] // 1024) % 8 + v[1] // 8192 AS first_last, CAST(floor((v[8] - v[1]) / 256) AS BIGINT) AS difference, CAST(floor((v[8] - v[1]) / 1024) + 64 * (v[8] // 16384) AS BIGINT) AS difference_place FROM a JOIN m USING (user_id, block)""")
+_simple("code_costs", lambda e: learned.code_costs(e, USER, "q"),
+        E + f""", z AS (SELECT user_id, block, {ZZ.format("d1")} AS z FROM e), u AS (SELECT user_id, block, CAST(count(*) * max({NB.format("z")}) AS BIGINT) AS uniform FROM z GROUP BY user_id, block), r AS (SELECT user_id, block, k, sum((z >> CAST(k AS INT)) + 1 + k) * 100 + k AS m FROM z, (SELECT unnest(range(16)) AS k) GROUP BY user_id, block, k)
+SELECT user_id, block, any_value(uniform) AS uniform, CAST(min(m) // 100 AS BIGINT) AS rice, CAST(min(m) % 100 AS INT) AS parameter FROM r JOIN u USING (user_id, block) GROUP BY user_id, block""")
+_simple("one_tap_regression", lambda e: learned.one_tap(e, USER, "q"), E + ", o AS (SELECT user_id, d1 AS y, coalesce(lag(d1) OVER (PARTITION BY user_id ORDER BY i), 0) AS x FROM e), t AS (SELECT user_id, CAST(sum(x * y) AS BIGINT) AS sxy, CAST(sum(x * x) AS BIGINT) AS sxx FROM o GROUP BY user_id) SELECT *, CAST(floor(sxy * 256 / sxx) AS BIGINT) AS coefficient FROM t")
+_simple("codec_pipeline", lambda e: codecs.measure(e, USER, [codecs.Delta(["q"]), codecs.Zigzag(["q"])], "q"), E + f"SELECT user_id, count(*) AS n_rows, CAST(0 AS BIGINT) AS mismatches, CAST(sum(CASE WHEN q = 0 THEN 0 ELSE length(bin(2 * q)) END) AS BIGINT) AS raw_bits, CAST(sum(CASE WHEN d1 = 0 THEN 0 ELSE length(bin(2 * ({ZZ.format('d1')}))) END) AS BIGINT) AS code_bits FROM e GROUP BY user_id")
+_simple("mean_rank", lambda e: e.select("user_id", S.delta(USER, "q").alias("d1"), S.double_delta(USER, "q").alias("d2"), S.triple_delta(USER, "q").alias("d3")).groupBy("user_id").agg(*[F.sum(F.abs(c)).alias(c) for c in ("d1", "d2", "d3")]).select("user_id", F.inline(F.array(*[F.struct(F.lit(c).alias("predictor"), F.col(c).alias("loss")) for c in ("d1", "d2", "d3")])))
+        .withColumn("r", F.rank().over(W.partitionBy("user_id").orderBy("loss"))).groupBy("predictor").agg(F.round(F.avg("r"), 6).alias("mean_rank")),
+        E + ", l AS (SELECT user_id, sum(abs(d1)) AS d1, sum(abs(d2)) AS d2, sum(abs(d3)) AS d3 FROM e GROUP BY user_id), u AS (SELECT user_id, 'd1' AS predictor, d1 AS loss FROM l UNION ALL SELECT user_id, 'd2', d2 FROM l UNION ALL SELECT user_id, 'd3', d3 FROM l) SELECT predictor, round(avg(r), 6) AS mean_rank FROM (SELECT predictor, rank() OVER (PARTITION BY user_id ORDER BY loss) AS r FROM u) GROUP BY predictor")
+_simple("least_step", lambda e: e.select("user_id", "q").distinct().withColumn("gap", F.col("q") - F.lag("q").over(W.partitionBy("user_id").orderBy("q"))).groupBy("user_id").agg(F.min("gap").alias("step")), "WITH d AS (SELECT DISTINCT user_id, CAST(round_even(value * 100, 0) AS BIGINT) AS q FROM events), g AS (SELECT user_id, q - lag(q) OVER (PARTITION BY user_id ORDER BY q) AS gap FROM d) SELECT user_id, min(gap) AS step FROM g GROUP BY user_id")
+
+
+def _per_series(name: str, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, sql: str | None = None) -> None:
+    QUERIES[name] = Query(lambda spark, d: learned.over_series(events(spark, d), USER, ["q"], f, schema), sql)
+
+
+def _back(mismatches: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda p: pd.DataFrame({"n": [len(p)], "mismatches": [int(mismatches(p["q"].to_numpy()))]})
+
+
+def _context_mismatches(x):
+    residuals, used = learned.context_predict(x)
+    return (learned.context_predict(residuals, decode=used)[0] != x).sum()
+
+
+_EXACT_SERIES = E + "SELECT user_id, count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM e GROUP BY user_id"
+_per_series("context_roundtrip", _back(_context_mismatches), "n long, mismatches long", _EXACT_SERIES)
+_per_series("rank_roundtrip", _back(lambda x: (learned.adaptive_ranks(learned.adaptive_ranks(x // 256), decode=True) != x // 256).sum()), "n long, mismatches long", _EXACT_SERIES)
+_per_series("linearise_bounds", _back(lambda x: (abs(learned.linearise(x)[0] - x) > 0.002 * (x.max() - x.min()) + 1e-6).sum()), "n long, mismatches long", _EXACT_SERIES)
+_per_series("best_placement", lambda p: pd.DataFrame({"at": learned.best_placement(p["q"].to_numpy() - 25_000, 4)}), "at long")
+_per_series("greedy_matches", lambda p: pd.DataFrame({"at": learned.greedy_apart((p["q"].to_numpy() > 25_000).nonzero()[0], 3)}), "at long")
+_per_series("piecewise_linear", lambda p: pd.DataFrame({"anchor": learned.piecewise_linear(p["q"].to_numpy(), 2e8)[0]}), "anchor long")
+_per_series("zstd_loss", lambda p: pd.DataFrame({"bytes": [learned.zstd_size(p["q"].diff().fillna(0))]}), "bytes long")
+QUERIES["kmeans_residuals"] = Query(lambda spark, d: learned.kmeans(vectors(spark, d), 8), None)
+_simple("learned_filter", lambda e: e.select("event_id", F.round(S.fir(USER, "q", learned.learn_filter(e, USER, "q")), 3).alias("residual")), None)
+
 # ---- Spark's own operators, beyond the series ------------------------------------------
 
 QUERIES["cube_counts"] = Query(lambda spark, d: table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
