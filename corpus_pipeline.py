@@ -21,7 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.3; scores are learned from labelled rows outside the held-out fold."""
     bad = quality.score_quality(docs, table(spark, sf_dir, "labels")).where("score < 0.3").select("doc_id").distinct()
-    return docs.join(small(bad), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(materialise(bad, "rejected")), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates (five words, similarity of 0.8 or more)."""
     gone = neardup.near_duplicates(docs, words=5, part=80, whole=100).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(materialise(gone, "copies")), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

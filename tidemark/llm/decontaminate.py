@@ -129,7 +129,8 @@ def _hash_words_of(column: str) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs whose text overlaps with no benchmark item; rows with a null id stay."""
-    return docs.join(small(contaminated(docs, benchmark, **how).select("doc_id").distinct()), "doc_id", "left_anti")
+    found = materialise(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "contaminated")
+    return docs.join(small(found), "doc_id", "left_anti")
 
 
 ORACLE = """
