@@ -14,10 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import bits
-from tidemark.operators import codecs, learned
+from tidemark.operators import adaptive, codecs, learned
 from tidemark.operators import recurrences as R
 from tidemark.operators import series as S
 from tidemark.operators import similarity as N
+from tidemark.sources import synthetic
 
 
 class Query(NamedTuple):
@@ -451,6 +452,24 @@ _per_series("zstd_loss", lambda p: pd.DataFrame({"bytes": [learned.zstd_size(p["
 QUERIES["kmeans_residuals"] = Query(lambda spark, d: learned.kmeans(vectors(spark, d), 8), None)
 _simple("learned_filter", lambda e: e.select("event_id", F.round(S.fir(USER, "q", learned.learn_filter(e, USER, "q")), 3).alias("residual")), None)
 
+def _codebook_mismatches(x):
+    residuals, picks = adaptive.online_codebook(x)
+    return (adaptive.online_codebook(residuals, picks=picks)[0] != x).sum()
+
+
+for _how in ("sums", "gradient"):
+    _per_series(f"online_regress_{_how}", _back(lambda x, how=_how: (adaptive.online_regress(adaptive.online_regress(x, how), how, decode=True) != x).sum()), "n long, mismatches long", _EXACT_SERIES)
+_per_series("online_codebook", _back(_codebook_mismatches), "n long, mismatches long", _EXACT_SERIES)
+_simple("nearest_earlier", lambda e: adaptive.nearest_earlier(e, USER, "q").select("user_id", "block", "back", F.array_join("residual", ",").alias("residual")),
+        E + """, v AS (SELECT user_id, block, list(q ORDER BY pos) AS a FROM e GROUP BY user_id, block HAVING count(*) = 8),
+c AS (SELECT user_id, block, 0 AS back, a AS r FROM v UNION ALL SELECT n.user_id, n.block, n.block - o.block, [n.a[k] - o.a[k] FOR k IN range(1, 9)] FROM v n JOIN v o ON n.user_id = o.user_id AND o.block BETWEEN n.block - 16 AND n.block - 1)
+SELECT user_id, block, back, array_to_string(r, ',') AS residual FROM (SELECT *, row_number() OVER (PARTITION BY user_id, block ORDER BY list_sum([abs(x) FOR x IN r]), back) AS p FROM c) WHERE p = 1""")
+_simple("filter_bank", lambda e: adaptive.filter_bank(e, USER, "q")[0].select("user_id", "block", "filter", F.round("error", 2).alias("error")), None)
+QUERIES["synthetic_walks"] = Query(lambda spark, d: synthetic.walks(spark, 16, 256), None)
+QUERIES["synthetic_sines"] = Query(lambda spark, d: synthetic.sines(spark, 16, 256, warp=0.2), None)
+QUERIES["synthetic_shapes"] = Query(lambda spark, d: synthetic.shapes(spark, 30), None)
+QUERIES["synthetic_bits"] = Query(lambda spark, d: synthetic.uniform_bits(spark, 16, 256), None)
+
 # ---- Spark's own operators, beyond the series ------------------------------------------
 
 QUERIES["cube_counts"] = Query(lambda spark, d: table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")), "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
