@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import materialise, small
 
 #: Stands for a null id while rows are sorted and joined.
 NO_ID = -(1 << 63)
@@ -114,19 +114,34 @@ def successors(ids: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, k: int = 3) -> DataFrame:
     """Each document's fingerprint, and that of its text with the last third replaced by the beginning of the next document.
 
-    Columns: doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next. Rows that repeat an
-    id count as one, with the least text. A null id comes last (the least long is reserved for it). A single document is
-    its own next. Input columns other than id and text are ignored.
+    Columns: doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next. The next document
+    is the one of the next lower id, of several rows of that id the least text. Each row has its fingerprints, also those
+    that repeat an id. Null ids come last (the least long is reserved for them). A single document is its own next. Input
+    columns other than id and text are ignored.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = successors(docs.groupBy("k").agg((F.floor(F.max(F.length("text")) / 3)).cast("int").alias("third")))
+    order = successors(docs.groupBy("k").agg((F.floor(F.max(F.length("text")) / 3)).cast("int").alias("third"), F.count("*").alias("n")))
     # The fingerprint is made before the shuffle, which both joins below share.
-    docs = docs.select("k", F.struct("text", fingerprint(F.col("text"), k).alias("fp")).alias("d")).groupBy("k").agg(F.min("d").alias("d")).select("k", "d.text", "d.fp")
+    least = docs.select("k", F.struct("text", fingerprint(F.col("text"), k).alias("fp")).alias("d")).groupBy("k").agg(F.min("d").alias("d"), F.count("*").alias("n")).select("k", "d.text", "d.fp", "n")
     # The next document sends no more than the beginning that its predecessor needs.
-    ahead = docs.withColumnRenamed("k", "next").join(order, "next").select("k", F.substring("text", F.lit(1), F.col("third")).alias("head"), F.col("fp").alias("next_fp"))
+    head = F.substring("text", F.lit(1), F.col("third")).alias("head")
+    ahead = least.withColumnRenamed("k", "next").drop("n").join(order, "next").select("k", head, F.col("fp").alias("next_fp"))
+    out = _edited(least.where("n = 1").drop("n").join(ahead, "k"), k)
+    # Rows of repeated and null ids go past the grouping above, with the next documents of these ids only.
+    several = materialise(order.where("n > 1").select("k", "next", "third"), "repeated-ids")
+    if several.isEmpty():
+        return out
+    nexts = docs.withColumnRenamed("k", "next").join(small(several.select("next")), "next", "left_semi").groupBy("next").agg(F.min("text").alias("text"))
+    nexts = materialise(nexts.join(several, "next").select("k", head, fingerprint(F.col("text"), k).alias("next_fp")), "next-documents")
+    rows = docs.join(small(several.select("k")), "k", "left_semi").select("k", "text", fingerprint(F.col("text"), k).alias("fp"))
+    return out.unionByName(_edited(rows.join(small(nexts, 1_000), "k"), k))
+
+
+def _edited(both: DataFrame, k: int) -> DataFrame:
+    """The result's columns from k, text, fp, head and next_fp."""
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    both = docs.join(ahead, "k").select("k", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"))
+    both = both.select("k", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"))
     both = both.withColumn("edited_fp", fingerprint(F.col("edited"), k))
     return both.select(
         F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited", digits(F.col("fp")).alias("fingerprint"), digits(F.col("edited_fp")).alias("edited_fingerprint"),
