@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, lines
+from tidemark.llm import fingerprints, lines, neardup
 
 
 def test_lines_keep_rows_of_null_and_repeated_ids(spark):
@@ -24,3 +24,13 @@ def test_fingerprints_of_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.edited, r.fingerprint) for r in fingerprints.fingerprint_edits(d).collect()) == want
 
 
+
+
+def test_near_duplicates_in_a_large_crowd(spark):
+    """1,600 texts, each alike to one other at 0.86 and to the rest at 0.83."""
+    base = " ".join(f"c{i}" for i in range(124))
+    # Five-word windows: 120 in all texts, 2 of the pair, 10 of the text.
+    rows = [(i, f"{base} p{i // 2} q{i // 2} " + " ".join(f"u{i}x{j}" for j in range(10))) for i in range(1600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, part=85).collect()}
+    assert got == {i: i - i % 2 for i in range(1600)}
