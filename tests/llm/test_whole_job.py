@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, lines, neardup
+import corpus_pipeline
+from tidemark.llm import fingerprints, lines, mixing, neardup, queries
 
 
 def test_lines_keep_rows_of_null_and_repeated_ids(spark):
@@ -34,3 +37,34 @@ def test_near_duplicates_in_a_large_crowd(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, part=85).collect()}
     assert got == {i: i - i % 2 for i in range(1600)}
+
+
+def shares(rated, k):
+    got = rated.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[i]) for i in range(k)], F.min("rate")).first()
+    assert got[-1] >= 0
+    return [x / got[0] for x in got[1:-1]]
+
+
+def test_rates_meet_targets_of_rare_domains(spark):
+    rng = np.random.default_rng(1)
+    prior = np.array([0.945, 0.045, 0.008, 0.002])
+    kind = rng.choice(4, 4000, p=prior)
+    p = np.exp(np.log(prior) + 4 * np.eye(4)[kind] + rng.normal(size=(4000, 4)))
+    p /= p.sum(1, keepdims=True)
+    d = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(rng.integers(1, 900, 4000), p, strict=True)], "n_tokens long, posterior array<double>").cache()
+    target = [0.70, 0.20, 0.05, 0.05]
+    assert shares(mixing.fit_rates(d, target), 4) == pytest.approx(target, abs=1e-4)
+
+
+def test_rates_report_targets_out_of_reach(spark):
+    d = spark.createDataFrame([(9, [0.5, 0.5]), (5, [0.6, 0.4])], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="instead of"):
+        mixing.fit_rates(d, [0.0, 1.0])
+
+
+def test_mixing_meets_targets_after_the_quality_filter(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = corpus_pipeline.filter_quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    found = queries.domain_labels(spark, sf).join(docs, "doc_id").where("domain IS NOT NULL").select("domain").distinct().collect()
+    target = np.array([queries.TARGETS[d] for d in sorted(r.domain for r in found)])
+    assert shares(corpus_pipeline.mix(spark, docs, sf).cache(), len(target)) == pytest.approx(list(target / target.sum()), abs=1e-4)

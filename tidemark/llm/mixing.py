@@ -3,9 +3,10 @@
 A domain is a combination of values in a labelled table. Multinomial regression (FTRL, fitted
 on at most `max_train` labelled rows) on hashed words and document statistics gives each
 document a posterior over domains. Rates r >= 0 are then fitted so that the expected tokens
-of each domain, sum of r * tokens * posterior, come to its target share: projected gradient
-descent on least squares, where each step is one distributed sum of a number for each domain
-and a document's rate is recomputed from the steps so far. Documents begin at rate 1.
+of each domain, sum of r * tokens * posterior, come to its target share, with the least change
+from 1 (sum of tokens * (r - 1)**2). Then r = max(0, 1 + x . posterior) with a number in x for
+each domain, found by projected Newton steps, each one distributed sum; they go on until the
+shares are met. Targets that no rates meet are approached, and a warning names what is missing.
 
 Null and empty texts have no tokens and keep the rate that their posterior gives. Ids with
 several labels count with each; null labels are not learned from. Without labels there is
@@ -15,6 +16,8 @@ of shares. Input columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,36 +80,51 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_train: int = 2_000) -> tu
     return docs.mapInArrow(_posteriors(w), "doc_id long, n_tokens long, posterior array<double>"), domains
 
 
-def fit_rates(weighted: DataFrame, targets: list[float], steps: int = 60, near: float = 1e-4) -> DataFrame:
-    """weighted (n_tokens, posterior, ...) with a column rate: expected domain totals come to `targets` shares of all tokens."""
+def fit_rates(weighted: DataFrame, targets: list[float], steps: int = 200, near: float = 1e-4) -> DataFrame:
+    """weighted (n_tokens, posterior, ...) with a column rate: expected domain totals come to `targets` shares of all tokens, within `near`. Warns if they don't."""
     k = len(targets)
     p = [F.col("posterior")[i] for i in range(k)]
     n = F.col("n_tokens")
-    sums = weighted.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    total = float(sums.n or 0)
+    total = float(weighted.agg(F.sum(n).alias("n")).first().n or 0)
     if not total:
         return weighted.withColumn("rate", F.lit(1.0))
-    m = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) / total
-    goal = np.array(targets, float)
-    goal = np.where(np.diag(m) > 1e-9, goal, 0)
-    goal /= max(goal.sum(), 1e-12)
-    scale = np.maximum(np.diag(m), 1e-9)
-    rate = 1 / max(np.linalg.eigvalsh(m / np.sqrt(np.outer(scale, scale))).max(), 1e-9)
-    history: list[list[float]] = []
-
-    def rates():
-        if not history:
-            return F.lit(1.0)
-        path = F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in history])
-        return F.aggregate(path, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - sum((F.col("posterior")[i] * h[i] for i in range(1, k)), F.col("posterior")[0] * h[0])))
 
+    def rates(x):
+        return F.greatest(F.lit(0.0), sum((p[i] * float(x[i]) for i in range(k)), F.lit(1.0)))
+
+    def sums(x):
+        """Totals of the domains, half the squared rates, and the second moments of the posteriors of rows with a rate over 0, each over all tokens."""
+        now = weighted.select(n, "posterior", rates(x).alias("r"))
+        cells = [F.sum(n * p[i] * p[j] * (F.col("r") > 0).cast("int")) for i in range(k) for j in range(i, k)]
+        got = np.array(now.agg(*[F.sum(n * F.col("r") * q) for q in p], F.sum(n * F.col("r") * F.col("r")) / 2, *cells).first(), float) / total
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = got[k + 1 :]
+        return got[:k], got[k], np.maximum(m, m.T)
+
+    # Convex in x, with totals - goal as its slope; so small a ridge only matters if no rates meet the targets.
+    ridge = 1e-8
+    x = np.zeros(k)
+    totals, half, m = sums(x)
+    goal = np.where(np.diag(m) > 1e-9, np.array(targets, float), 0)
+    goal /= max(goal.sum(), 1e-12)
     for _ in range(steps):
-        now = weighted.select(n, "posterior", rates().alias("r")).agg(*[F.sum(n * F.col("r") * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        off = np.array([now[f"t{i}"] for i in range(k)], float) / total - goal
-        if np.abs(off).max() < near:
+        slope = totals - goal + ridge * x
+        if np.abs(slope).max() < near / 10:
+            break
+        step, size = -np.linalg.solve(m + ridge * np.eye(k), slope), 1.0
+        value = half - goal @ x + ridge * (x @ x) / 2
+        while size > 1e-6:
+            to = x + size * step
+            new = sums(to)
+            if new[1] - goal @ to + ridge * (to @ to) / 2 <= value + 1e-4 * size * (slope @ step):
+                break
+            size /= 2
+        else:
             break
-        history.append((rate * off / scale).tolist())
-    return weighted.withColumn("rate", rates())
+        x, (totals, half, m) = to, new
+    if np.abs(totals - goal).max() >= near:
+        warnings.warn(f"domain shares {totals.round(5).tolist()} instead of {goal.round(5).tolist()}", stacklevel=2)
+    return weighted.withColumn("rate", rates(x))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float], max_train: int = 2_000) -> DataFrame:
