@@ -2,15 +2,20 @@
 
 A text is its words `[^\\x20\\x09-\\x0D]+`; its k-mers are runs of k words (fewer words: the
 whole sequence is one). Equal k-mers of a text are told apart by their occurrence number.
-One hash of (k-mer, occurrence) deals them into `BINS` bins; in each bin the two least are
-selected, put back in text order and hashed together, so that a bin agrees between two
-texts if the same two k-mers were selected and stand in the same order: moves and swaps
-count as well as changes, as they do in edit distance. The bins of one hash stand in for as
-many permutations. A fingerprint has
-four hexadecimal digits for each bin, `----` if no k-mer fell into it.
-
-Null and empty texts, and texts without words, have only empty bins; their likeness is 1
-to each other and 0 to others.
+Each of `POSITIONS` independent hash functions orders the pairs of a text anew (one 64-bit hash
+gives two of them: its upper and its lower bits); the two least pairs are selected, put back in
+text order and hashed together. So a position agrees between two texts if the same two k-mers
+were selected and stand in the same order: moves and swaps count as well as changes, as they do
+in edit distance. All k-mers take part in every position, whatever the length of the text. A
+fingerprint has four hexadecimal digits for each position.
+
+The pairs are exploded, and the minima are plain aggregates inside generated code: one pass for
+the least of each position, one for the second least. Both keep the partitioning of the texts,
+so neither shuffles.
+
+A text with a single k-mer has no order to show: its positions hold that k-mer alone. Null and
+empty texts, and texts without words, have `----` in all positions; their likeness is 1 to each
+other and 0 to others.
 """
 
 from __future__ import annotations
@@ -19,72 +24,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialise, small
+from tidemark.llm.shared import lookup, materialise, small
 
 #: Stands for a null id while rows are sorted and joined.
 NO_ID = -(1 << 63)
-BINS = 64
-#: Long texts drop k-mers whose hash is too large to be among the least two of a bin (expected count kept in a bin).
-DEPTH = 8
-#: Texts of more k-mers than this many bits count would have their order taken modulo it.
-PLACE_BITS = 22
+#: Hash functions, two to a hash.
+POSITIONS = 32
+#: The low bits of a rank hold the place of its k-mer (an array has fewer than 2^31 elements), the upper ones come from the hash.
+PLACE_BITS = 31
 PLACE = (1 << PLACE_BITS) - 1
-BIN_BITS = BINS.bit_length() - 1
 
 
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def fingerprint(text: Column, k: int = 3) -> Column:
-    """The fingerprint of a text column: an int for each bin, -1 where it is empty."""
-    words = F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda ws: _of_words(ws, k))
-
-
-def _of_words(ws: Column, k: int) -> Column:
-    n = F.size(ws)
-    # k-mer hash in the high bits, place in the low bits: sorting puts equal k-mers together in text order.
-    packed = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE))),
-    )
-    return F.when(n == 0, F.array_repeat(F.lit(-1), BINS)).otherwise(_let(F.sort_array(packed), _of_sorted))
-
-
-def _kmer(x: Column) -> Column:
-    return F.shiftright(x, PLACE_BITS)
-
-
-def _of_sorted(s: Column) -> Column:
-    n = F.size(s)
-
-    def occurrence(x: Column, i: Column) -> Column:
-        """How many equal k-mers stand before: the greatest m such that the one m places before is equal, by halving steps."""
-
-        def step(m: Column, b: Column) -> Column:
-            return F.when((i >= m + b) & (_kmer(F.get(s, F.greatest(i - m - b, F.lit(0)))) == _kmer(x)), m + b).otherwise(m)
-
-        return F.when(_kmer(x.bitwiseXOR(F.get(s, i - 1))) == 0, F.aggregate(F.array(*[F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1)]), F.lit(0), step)).otherwise(F.lit(0))
-
-    numbered = F.transform(s, lambda x, i: F.xxhash64(_kmer(x), occurrence(x, i)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
-    # Rank within a bin: the bits below those of the bin.
-    top = float(1 << (64 - BIN_BITS)) * BINS * DEPTH
-    near = F.when(n <= BINS * DEPTH, numbered).otherwise(F.filter(numbered, lambda e: F.shiftrightunsigned(F.shiftleft(e, BIN_BITS), BIN_BITS).cast("double") * n <= F.lit(top)))
-    return _let(F.sort_array(near), _of_bins)
-
-
-def _of_bins(a: Column) -> Column:
-    bin_of = lambda e: F.shiftrightunsigned(e, 64 - BIN_BITS)
-    starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.coalesce(bin_of(F.get(a, i - 1).bitwiseXOR(F.get(a, i))) != 0, F.lit(True)))
-
-    def entry(i: Column) -> Column:
-        e, f = F.get(a, i), F.get(a, i + 1)
-        pair = F.when(f.isNull() | (bin_of(f) != bin_of(e)), F.xxhash64(_kmer(e))).when(e.bitwiseAND(F.lit(PLACE)) <= f.bitwiseAND(F.lit(PLACE)), F.xxhash64(_kmer(e), _kmer(f))).otherwise(F.xxhash64(_kmer(f), _kmer(e)))
-        return F.struct(bin_of(e).cast("int").alias("b"), pair.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("v"))
-
-    return _let(F.map_from_entries(F.transform(starts, entry)), lambda m: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at(m, b), F.lit(-1))))
+def _numbered(df: DataFrame, text: str, k: int) -> DataFrame:
+    """df with __values (a hash of each k-mer and its occurrence number) and __places (where each stands; null: in text order)."""
+    own = df.columns
+    df = df.select(*own, F.btrim(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(" \t\n\x0b\x0c\r")).alias("__text"))
+    words = F.when(F.col("__text") == "", F.array().cast("array<string>")).otherwise(F.split("__text", "[\\x20\\x09-\\x0D]+"))
+    df = df.select(*own, F.transform(words, lambda w: F.xxhash64(w)).alias("__ws"))
+    n = F.size("__ws")
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get("__ws", i + j) for j in range(k)]))
+    df = df.select(*own, F.when(n > 0, grams).otherwise(F.array().cast("array<bigint>")).alias("__grams"))
+    # Only texts that repeat a k-mer are sorted, to number its occurrences.
+    again = F.size(F.array_distinct("__grams")) < F.size("__grams")
+    df = df.select(*own, "__grams", F.when(again, F.sort_array(F.transform("__grams", lambda x, i: F.struct(x.alias("gram"), i.alias("at"))))).alias("__items"))
+    of = lambda i: F.get("__items", i).gram
+    starts = F.filter(F.sequence(F.lit(0), F.size("__items") - 1), lambda i: (i == 0) | (of(i) != of(F.greatest(i - 1, F.lit(0)))))
+    df = df.select(*own, "__grams", "__items", F.when(F.col("__items").isNotNull(), starts).alias("__starts"))
+    runs = F.transform("__starts", lambda s, j: F.sequence(F.lit(0), F.coalesce(F.get("__starts", j + 1), F.size("__items")) - s - 1))
+    df = df.select(*own, "__grams", "__items", F.flatten(runs).alias("__occs"))
+    values = F.zip_with("__items", "__occs", lambda item, occ: F.when(occ == 0, item.gram).otherwise(F.xxhash64(item.gram, occ)))
+    return df.select(*own, F.coalesce(values, F.col("__grams")).alias("__values"), F.transform("__items", lambda item: item.at).alias("__places"))
+
+
+def _ranks() -> list[Column]:
+    """The rank of a row (value, at) under each hash function, with its place in the low bits; null without a k-mer."""
+    out = []
+    for i in range(POSITIONS // 2):
+        h = F.xxhash64(F.col("value").bitwiseXOR(F.lit((i + 1) * 0x9E3779B97F4A7C15 % (1 << 63))))
+        out += [h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(F.col("at")), F.shiftleft(h, 32).bitwiseOR(F.col("at"))]
+    return out
+
+
+def _spots(texts: DataFrame, key: str, k: int, *more: str) -> DataFrame:
+    """key, the columns `more`, value and at (place) of each k-mer of a text; texts without words keep one row of nulls."""
+    rows = _numbered(texts.select(key, *more, F.col("text").alias("__t")), "__t", k).select(key, *more, "__places", F.posexplode_outer("__values").alias("__i", "value"))
+    return rows.select(key, *more, "value", F.coalesce(F.get("__places", F.col("__i")), F.col("__i")).cast("long").alias("at"))
+
+
+def fingerprints(texts: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """key, fp (an int for each position, -1 where the text has no word) of texts (key, text), which have one row for each key."""
+    names = [f"v{i}" for i in range(POSITIONS)]
+    least = _spots(texts, key, k).groupBy(key).agg(*[F.min(r).alias(v) for r, v in zip(_ranks(), names, strict=True)]).select(key, F.array(*names).alias("least"))
+    again = _spots(texts.select(key, "text").join(least, key), key, k, "least").groupBy(key, "least")
+    second = again.agg(*[F.min(F.when(r > F.get("least", F.lit(i)), r)).alias(v) for i, (r, v) in enumerate(zip(_ranks(), names, strict=True))])
+    upper, place = (lambda x: F.shiftright(x, PLACE_BITS)), (lambda x: x.bitwiseAND(F.lit(PLACE)))
+
+    def digit(a: Column, b: Column) -> Column:
+        pair = F.when(b.isNull(), F.xxhash64(upper(a))).when(place(a) < place(b), F.xxhash64(upper(a), upper(b))).otherwise(F.xxhash64(upper(b), upper(a)))
+        return F.when(a.isNull(), F.lit(-1)).otherwise(pair.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+
+    # A lambda, once for each text: as columns these would make the aggregate's generated method too long.
+    return second.select(key, F.zip_with("least", F.array(*names), digit).alias("fp"))
 
 
 def digits(fp: Column) -> Column:
@@ -93,9 +93,8 @@ def digits(fp: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal bins over bins filled in either fingerprint; 1 for two without any."""
-    score = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x < 0) & (y < 0), 0).when(x == y, 65537).otherwise(1)), F.lit(0), lambda s, x: s + x)
-    return _let(score, lambda s: F.when(s == 0, F.lit(1.0)).otherwise(F.shiftright(s, 16) / s.bitwiseAND(F.lit(0xFFFF))))
+    """The share of equal positions: 1 for two texts without words, 0 if only one has none."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -120,30 +119,42 @@ def fingerprint_edits(docs: DataFrame, k: int = 3) -> DataFrame:
     columns other than id and text are ignored.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = successors(docs.groupBy("k").agg((F.floor(F.max(F.length("text")) / 3)).cast("int").alias("third"), F.count("*").alias("n")))
-    # The fingerprint is made before the shuffle, which both joins below share.
-    least = docs.select("k", F.struct("text", fingerprint(F.col("text"), k).alias("fp")).alias("d")).groupBy("k").agg(F.min("d").alias("d"), F.count("*").alias("n")).select("k", "d.text", "d.fp", "n")
+    order = materialise(successors(docs.groupBy("k").agg((F.floor(F.max(F.length("text")) / 3)).cast("int").alias("third"), F.count("*").alias("n"))), "order")
+    # One row for each id, the least text; the joins below share its shuffle.
+    least = docs.groupBy("k").agg(F.min("text").alias("text"))
+    known = materialise(fingerprints(least, "k", k), "fingerprints")
+    one, next_fp = order.where("n = 1").select("k", "next", "third"), known.select(F.col("k").alias("next"), F.col("fp").alias("next_fp"))
     # The next document sends no more than the beginning that its predecessor needs.
     head = F.substring("text", F.lit(1), F.col("third")).alias("head")
-    ahead = least.withColumnRenamed("k", "next").drop("n").join(order, "next").select("k", head, F.col("fp").alias("next_fp"))
-    out = _edited(least.where("n = 1").drop("n").join(ahead, "k"), k)
-    # Rows of repeated and null ids go past the grouping above, with the next documents of these ids only.
-    several = materialise(order.where("n > 1").select("k", "next", "third"), "repeated-ids")
-    if several.isEmpty():
+    edited = _edited(least.join(least.withColumnRenamed("k", "next").join(one, "next").select("k", head), "k"))
+    both = known.join(one.join(next_fp, "next").select("k", "next_fp"), "k")
+    out = _result(edited.select("k", "n_chars", "edited").join(_fingerprints_of_edited(edited, "k", k), "k").join(both, "k"))
+    # Rows of repeated and null ids go past the grouping above: each different text of an id is one row until the end.
+    several = materialise(order.where("n > 1"), "repeated-ids")
+    total = several.agg(F.sum("n").alias("n")).first().n
+    if not total:
         return out
-    nexts = docs.withColumnRenamed("k", "next").join(small(several.select("next")), "next", "left_semi").groupBy("next").agg(F.min("text").alias("text"))
-    nexts = materialise(nexts.join(several, "next").select("k", head, fingerprint(F.col("text"), k).alias("next_fp")), "next-documents")
-    rows = docs.join(small(several.select("k")), "k", "left_semi").select("k", "text", fingerprint(F.col("text"), k).alias("fp"))
-    return out.unionByName(_edited(rows.join(small(nexts, 1_000), "k"), k))
+    nexts = least.withColumnRenamed("k", "next").join(small(several), "next").select("k", "next", "n", head)
+    nexts = materialise(nexts.join(next_fp, "next").select("k", "n", "head", "next_fp"), "next-documents")
+    rows = lookup(docs, several.select("k", "n"), "k", total).groupBy("k", "text").agg(F.count("*").alias("copies"))
+    rows = materialise(_edited(lookup(rows, nexts, "k", total)).withColumn("row", F.xxhash64("k", "text")), "repeated-texts")
+    rows = rows.join(fingerprints(rows, "row", k), "row").join(_fingerprints_of_edited(rows, "row", k), "row")
+    return out.unionByName(_result(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))))
 
 
-def _edited(both: DataFrame, k: int) -> DataFrame:
-    """The result's columns from k, text, fp, head and next_fp."""
+def _edited(both: DataFrame) -> DataFrame:
+    """both with n_chars and edited, from text and head."""
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    both = both.select("k", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"))
-    both = both.withColumn("edited_fp", fingerprint(F.col("edited"), k))
-    return both.select(
+    return both.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut))})
+
+
+def _fingerprints_of_edited(rows: DataFrame, key: str, k: int) -> DataFrame:
+    return fingerprints(rows.select(key, F.col("edited").alias("text")), key, k).withColumnRenamed("fp", "edited_fp")
+
+
+def _result(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited", digits(F.col("fp")).alias("fingerprint"), digits(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
