@@ -20,6 +20,8 @@ other and 0 to others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,35 +112,35 @@ def successors(ids: DataFrame) -> DataFrame:
     return within.join(F.broadcast(heads), "range").withColumn("next", F.coalesce("after", "head", "top")).drop("range", "after", "head", "top")
 
 
-def fingerprint_edits(docs: DataFrame, k: int = 3) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, k: int = 3, keep: Callable[[Column], Column] = lambda text: text) -> DataFrame:
     """Each document's fingerprint, and that of its text with the last third replaced by the beginning of the next document.
 
-    Columns: doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next. The next document
-    is the one of the next lower id, of several rows of that id the least text. Each row has its fingerprints, also those
-    that repeat an id. Null ids come last (the least long is reserved for them). A single document is its own next. Input
-    columns other than id and text are ignored.
+    Columns: doc_id, n_chars, edited (the text, or what `keep` makes of it), fingerprint, edited_fingerprint, near_edited,
+    near_next. The next document is the one of the next lower id, of several rows of that id the least text. Each row has
+    its fingerprints, also those that repeat an id. Null ids come last (the least long is reserved for them). A single
+    document is its own next. Input columns other than id and text are ignored.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = materialise(successors(docs.groupBy("k").agg((F.floor(F.max(F.length("text")) / 3)).cast("int").alias("third"), F.count("*").alias("n"))), "order")
-    # One row for each id, the least text; the joins below share its shuffle.
+    # One row for each id, the least text; all that follows shares its shuffle.
     least = docs.groupBy("k").agg(F.min("text").alias("text"))
-    known = materialise(fingerprints(least, "k", k), "fingerprints")
-    one, next_fp = order.where("n = 1").select("k", "next", "third"), known.select(F.col("k").alias("next"), F.col("fp").alias("next_fp"))
     # The next document sends no more than the beginning that its predecessor needs.
     head = F.substring("text", F.lit(1), F.col("third")).alias("head")
-    edited = _edited(least.join(least.withColumnRenamed("k", "next").join(one, "next").select("k", head), "k"))
-    both = known.join(one.join(next_fp, "next").select("k", "next_fp"), "k")
-    out = _result(edited.select("k", "n_chars", "edited").join(_fingerprints_of_edited(edited, "k", k), "k").join(both, "k"))
-    # Rows of repeated and null ids go past the grouping above: each different text of an id is one row until the end.
+    edited = _edited(least.join(least.withColumnRenamed("k", "next").join(order.select("k", "next", "third"), "next").select("k", head), "k"))
+    whole = edited.select("k", "n_chars", keep(F.col("edited")).alias("edited"))
+    made = materialise(whole.join(fingerprints(least, "k", k), "k").join(_fingerprints_of_edited(edited, "k", k), "k"), "fingerprints")
+    next_fp = made.select(F.col("k").alias("next"), F.col("fp").alias("next_fp"))
+    out = _result(made.join(order.where("n = 1").select("k", "next").join(next_fp, "next").drop("next"), "k"))
+    # Rows of repeated and null ids: each different text of an id is one row until the end.
     several = materialise(order.where("n > 1"), "repeated-ids")
     total = several.agg(F.sum("n").alias("n")).first().n
     if not total:
         return out
-    nexts = least.withColumnRenamed("k", "next").join(small(several), "next").select("k", "next", "n", head)
-    nexts = materialise(nexts.join(next_fp, "next").select("k", "n", "head", "next_fp"), "next-documents")
+    nexts = docs.withColumnRenamed("k", "next").join(small(several.select("next")), "next", "left_semi").groupBy("next").agg(F.min("text").alias("text"))
+    nexts = materialise(nexts.join(several, "next").select("k", "next", "n", head).join(next_fp, "next").drop("next"), "next-documents")
     rows = lookup(docs, several.select("k", "n"), "k", total).groupBy("k", "text").agg(F.count("*").alias("copies"))
     rows = materialise(_edited(lookup(rows, nexts, "k", total)).withColumn("row", F.xxhash64("k", "text")), "repeated-texts")
-    rows = rows.join(fingerprints(rows, "row", k), "row").join(_fingerprints_of_edited(rows, "row", k), "row")
+    rows = rows.join(fingerprints(rows, "row", k), "row").join(_fingerprints_of_edited(rows, "row", k), "row").withColumn("edited", keep(F.col("edited")))
     return out.unionByName(_result(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))))
 
 

@@ -17,8 +17,8 @@ TARGETS = {"q1t0": 0.70, "q1t1": 0.05, "q0t0": 0.20, "q0t1": 0.05}
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    out = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"), keep=lambda text: F.sha2(text, 256))
+    return out.withColumnRenamed("edited", "edited_sha256")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
