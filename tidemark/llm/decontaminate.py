@@ -2,13 +2,14 @@
 
 Words are maximal runs of letters and digits, lower-cased. Fixed masks read six words of a
 span and ignore the others; the two default masks together hit every run of 13 words in
-which at most two are substituted. The hashes of all spans of the benchmark are joined to
-those of all documents. Around each hit the item and the document are compared word by word
+which at most two are substituted. An item of fewer words than that (but no fewer than a mask)
+has masks of its own, which read every third of its words: two substitutions leave one of the
+three untouched. The hashes of all spans of the benchmark are joined to those of all documents. Around each hit the item and the document are compared word by word
 on the hit's diagonal, and a document is contaminated by an item if some `window` words
 (the whole item if it is shorter) agree in all but `substitutions` of them.
 
-Null texts are empty. Items shorter than a mask must occur whole, without
-substitutions. Rows with a null id are left out. Repeated rows count once. Input
+Null texts are empty. Items of fewer than ten words (shorter than a mask) must occur whole,
+without substitutions. Rows with a null id are left out. Repeated rows count once. Input
 columns other than id and text are ignored.
 """
 
@@ -29,7 +30,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-
 def _let(value: Column, use) -> Column:
     """use(value), with value computed once for each row."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -76,12 +76,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     items = materialise(items.where(F.size("item") > 0).distinct(), "benchmark-words")
     size, longest = F.size("item"), max(map(len, masks))
     whole = items.where(size >= longest).select("item_id", F.explode(_spans(F.col("item"), masks)).alias("s")).select("item_id", "s.at", "s.seed")
-    # Items shorter than a mask: all their words in a row.
-    short = items.where(size < longest).select("item_id", size.alias("n"), F.xxhash64("item").alias("seed"))
-    lengths = [r.n for r in short.select("n").distinct().collect()]
-    own = whole.select("seed", "item_id", F.col("at").alias("item_at")).unionByName(short.select("seed", "item_id", F.lit(0).alias("item_at")))
-    # A frequent seed is one row with all its places.
-    own = own.groupBy("seed").agg(F.collect_list(F.struct("item_id", "item_at")).alias("places"))
+    # Items shorter than a mask: all their words in a row. Items shorter than a window: every third word (in general, one more than substitutions).
+    step = substitutions + 1
+    sparse = lambda ws, at, n, r: F.xxhash64(*[F.get(ws, at + j) for j in range(r, n, step)], F.lit(-1 - r), F.lit(n))
+    lengths = sorted(r.n for r in items.where(size < window).select(size.alias("n")).distinct().collect())
+    whole = whole.select("seed", "item_id", F.col("at").alias("item_at"))
+    for n in lengths:
+        some = items.where(size == n)
+        seeds = [F.xxhash64("item")] if n < longest else [sparse(F.col("item"), F.lit(0), n, r) for r in range(step)]
+        whole = whole.unionByName(some.select(F.explode(F.array(*seeds)).alias("seed"), "item_id", F.lit(0).alias("item_at")))
+    own = materialise(whole.distinct(), "benchmark-seeds")
     maybe = _bitmap(own.select("seed"))
     pairs = F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.xxhash64(F.get("item", i), F.get("item", i + 1)))
     pair = _bitmap(items.where(size >= longest).select(F.explode(pairs).alias("h")))
@@ -90,19 +94,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
         """The seeds of one document that pass. Both ends of a mask's first pair of neighbours must be neighbours in the benchmark."""
         n = F.size(ws)
         near = F.when(n >= 2, F.filter(F.sequence(F.lit(0), n - 2), lambda i: pair(F.xxhash64(F.get(ws, i), F.get(ws, i + 1))))).otherwise(F.array().cast("array<int>"))
-        return _let(near, lambda spots: F.filter(F.concat(*[masked(ws, spots, k, m) for k, m in enumerate(masks)], *[run(ws, k) for k in lengths]), lambda s: s.seed.isNotNull() & maybe(s.seed)))
+        return _let(near, lambda spots: F.filter(F.concat(*[masked(ws, spots, k, m) for k, m in enumerate(masks)], *[x for n in lengths for x in run(ws, n)]), lambda s: s.seed.isNotNull() & maybe(s.seed)))
 
     def masked(ws: Column, spots: Column, k: int, mask: str) -> Column:
         lead = mask.index("11")
         return F.transform(spots, lambda b: F.struct((b - lead).alias("at"), F.when((b >= lead) & (b - lead + len(mask) <= F.size(ws)), _seed(ws, b - lead, k, mask)).alias("seed")))
 
-    def run(ws: Column, k: int) -> Column:
-        return _each(ws, k, lambda i: F.xxhash64(F.slice(ws, i + 1, k)))
+    def run(ws: Column, n: int) -> list[Column]:
+        if n < longest:
+            return [_each(ws, n, lambda i: F.xxhash64(F.slice(ws, i + 1, n)))]
+        return [_each(ws, n, lambda i, r=r: sparse(ws, i, n, r)) for r in range(step)]
 
     # The outer explode does not make Spark evaluate the array a second time to filter on its size.
     found = docs.select("doc_id", F.explode_outer(_let(_hash_words_of("text"), seeds)).alias("s")).where("s IS NOT NULL").select("doc_id", "s.at", "s.seed").join(small(own), "seed")
-    hits = found.select("doc_id", "at", F.explode("places").alias("p")).select("doc_id", F.col("p.item_id").alias("item_id"), (F.col("at") - F.col("p.item_at")).alias("shift"))
-    hits = materialise(hits.distinct(), "benchmark-hits")
+    hits = materialise(found.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "benchmark-hits")
     # On a diagonal the whole item is compared, so hits on one diagonal all say the same.
     # (_let: Spark would otherwise put the words' whole expression into the inner function and run it for every word.)
     pairs = docs.join(small(hits), "doc_id").join(small(items), "item_id")
