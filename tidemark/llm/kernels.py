@@ -77,7 +77,10 @@ def word_hashes(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(starts, begins)
 
 
-def windows(h: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+STEP, OTHER_STEP = U64(0xD1342543DE82EF95), U64(0xAF251AF3B0F025B5)
+
+
+def windows(h: np.ndarray, offs: np.ndarray, k: int, step: np.uint64 = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each k consecutive words inside one text; the text of each; the word each starts at (index into h)."""
     counts = np.maximum(np.diff(offs) - k + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -87,7 +90,6 @@ def windows(h: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint64), text, start
     n = len(h) - k + 1
     acc = np.zeros(n, np.uint64)
-    step = U64(0xD1342543DE82EF95)
     for j in range(k):
         acc = acc * step + h[j : j + n]
     return mix(acc)[start], text, start
@@ -117,7 +119,7 @@ def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
             elif n:
                 acc = np.zeros(1, np.uint64)
                 for x in h[offs[i] : offs[i + 1]]:
-                    acc = acc * U64(0xD1342543DE82EF95) + x
+                    acc = acc * STEP + x
                 out.append(mix(acc + np.full(1, n, np.uint64) * U64(0xA24BAED4963EE407)))
             else:
                 out.append(np.zeros(0, np.uint64))
