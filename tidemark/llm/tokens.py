@@ -1,10 +1,14 @@
 """Edit-aware token counts.
 
-A text is cut into pre-tokens; the tokens of a pre-token do not depend on its neighbours. A
-document keeps its pre-token ends and a segment tree over the token counts of leaves of
-`LEAF` pre-tokens. An edit re-reads the text from the pre-token before the edit (the
-boundary context) until a pre-token ends where an old one did, re-encodes the touched
-leaves only, and updates the sums above them. The result equals a full count.
+A text is cut into pre-tokens; the tokens of a pre-token do not depend on its neighbours. The
+pre-tokens of a document, each with its code points and tokens, are dealt to slots of about
+`SLOT`, and a segment tree over the slots sums both. `build_trees` makes these trees from texts,
+a table that is kept; `apply_edits` takes such trees and edits, and gives the trees of the edited
+texts. An edit goes down the tree to its place, re-reads the text from the pre-token before it
+(the boundary context) until a pre-token ends where an old one did, encodes what it read, and
+changes the sums on the paths from the touched slots to the root, no others. Slots grow and
+shrink by edits; a tree is only built anew when one would hold over `GROWN` slots' worth. The
+counts equal those of a full count.
 
 Null text is empty and has no tokens. Repeated rows are counted each. Edits out of the
 text's range are clipped to it. Input columns other than those named are ignored.
@@ -13,13 +17,17 @@ text's range are clipped to it. Input columns other than those named are ignored
 from __future__ import annotations
 
 import base64
+import bisect
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 32
+from tidemark.llm.shared import materialise
+
+SLOT, GROWN = 32, 8
 #: The usual pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose counts a worker remembers; beyond it, it begins anew.
@@ -48,76 +56,124 @@ class Encoder:
 
 
 class Counted:
-    """A text with its pre-token ends, leaves and segment tree."""
+    """A text with the segment tree over its pre-tokens.
+
+    slots: for each slot the code points and the tokens of its pre-tokens. tree: two arrays of 2 * size sums (code
+    points, tokens); node i has the children 2 * i and 2 * i + 1, and slot j is node size + j.
+    """
 
-    def __init__(self, encoder: Encoder, text: str | None) -> None:
+    def __init__(self, encoder: Encoder, text: str | None, sizes: np.ndarray | None = None, tokens: np.ndarray | None = None, slots: np.ndarray | None = None, tree: np.ndarray | None = None) -> None:
+        """Counts a text; or takes up one that was counted before, with its stored arrays."""
         self.encoder, self.text = encoder, text or ""
-        pieces = encoder.pattern.findall(self.text)
-        count = encoder.count
-        self.ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
-        self.counts = np.array([count(p) for p in pieces], np.int64)
-        self.encoded = 0
-        self._build(self._leaves(0))
-
-    def _leaves(self, first: int) -> np.ndarray:
-        """Sums of the leaves from leaf `first` on."""
-        at = np.arange(first * LEAF, len(self.counts), LEAF)
-        return np.add.reduceat(self.counts, at) if len(at) else np.zeros(0, np.int64)
-
-    def _build(self, leaves: np.ndarray) -> None:
-        size = 1
-        while size < max(1, len(leaves)):
-            size *= 2
-        self.tree = np.zeros(2 * size, np.int64)
-        self.tree[size : size + len(leaves)] = leaves
+        self.encoded = self.updated = 0
+        if tree is None:
+            pieces = encoder.pattern.findall(self.text)
+            self._deal([len(p) for p in pieces], [encoder.count(p) for p in pieces])
+            return
+        ends = np.cumsum(slots)
+        self.slots = [(sizes[e - k : e], tokens[e - k : e]) for e, k in zip(ends.tolist(), slots.tolist(), strict=True)]
+        self.tree = tree.reshape(2, -1).copy()
+
+    def _deal(self, sizes: list[int], tokens: list[int]) -> None:
+        """All pre-tokens to new slots, with a new tree."""
+        self.slots = [(np.array(sizes[i : i + SLOT], np.int64), np.array(tokens[i : i + SLOT], np.int64)) for i in range(0, len(sizes), SLOT)] or [(np.zeros(0, np.int64),) * 2]
+        size = 1 << (len(self.slots) - 1).bit_length()
+        self.tree = np.zeros((2, 2 * size), np.int64)
+        self.tree[:, size : size + len(self.slots)] = [[a.sum() for a, _ in self.slots], [b.sum() for _, b in self.slots]]
         while size > 1:
             size //= 2
-            self.tree[size : 2 * size] = self.tree[2 * size : 4 * size : 2] + self.tree[2 * size + 1 : 4 * size : 2]
+            self.tree[:, size : 2 * size] = self.tree[:, 2 * size : 4 * size : 2] + self.tree[:, 2 * size + 1 : 4 * size : 2]
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """sizes, tokens, slots (how many pre-tokens each has) and tree, as `__init__` takes them."""
+        return np.concatenate([a for a, _ in self.slots]), np.concatenate([b for _, b in self.slots]), np.array([len(a) for a, _ in self.slots], np.int64), self.tree.ravel()
 
     @property
     def total(self) -> int:
-        return int(self.tree[1])
+        return int(self.tree[1, 1])
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.concatenate([b for _, b in self.slots])
+
+    @property
+    def ends(self) -> np.ndarray:
+        """Where each pre-token ends."""
+        return np.cumsum(np.concatenate([a for a, _ in self.slots]))
+
+    def _slot_at(self, place: int) -> tuple[int, int]:
+        """The slot that holds the code point before `place` (the first for 0), and where it begins."""
+        node, begins, size = 1, 0, self.tree.shape[1] // 2
+        while node < size:
+            left = int(self.tree[0, 2 * node])
+            if place > begins + left:
+                begins += left
+                node = 2 * node + 1
+            else:
+                node = 2 * node
+        return min(node - size, len(self.slots) - 1), begins
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace text[start:end] by new."""
-        n = len(self.text)
+        n = int(self.tree[0, 1])
         start = min(max(start, 0), n)
         end = min(max(end, start), n)
-        # The pre-token that ends before the edit may look one character ahead or grow: begin with it.
-        first = max(0, int(np.searchsorted(self.ends, start, side="left")) - 1)
-        at = int(self.ends[first - 1]) if first else 0
+        # The pre-token that ends at the edit may grow, and the one before it may look at that: begin with it.
+        first, begins = self._slot_at(start)
+        while first and bisect.bisect_left(list(accumulate(self.slots[first][0].tolist(), initial=begins))[1:], start) < 1:
+            first -= 1
+            begins -= int(self.slots[first][0].sum())
+        ends = list(accumulate(self.slots[first][0].tolist(), initial=begins))[1:]
+        keep = max(0, bisect.bisect_left(ends, start) - 1)
+        at = ends[keep - 1] if keep else begins
+        # Old ends at and behind the edit, slot by slot, until the new cut meets one.
+        last, old_end, left, gone = first, at, self.slots[first][0].tolist()[keep:], 0
         shift = len(new) - (end - start)
         self.text = self.text[:start] + new + self.text[end:]
-        ends, counts, last = [], [], len(self.ends)
+        sizes, tokens = [], []
+        met = False
         for m in self.encoder.pattern.finditer(self.text, at):
-            ends.append(m.end())
-            counts.append(self.encoder.count(m[0]))
-            if m.end() >= start + len(new):
-                # From here on the old cut holds, if it had a boundary at this place.
-                k = int(np.searchsorted(self.ends, m.end() - shift))
-                if m.end() - shift >= end and k < len(self.ends) and self.ends[k] == m.end() - shift:
-                    last = k + 1
+            sizes.append(m.end() - m.start())
+            tokens.append(self.encoder.count(m[0]))
+            if m.end() < start + len(new):
+                continue
+            while old_end + shift < m.end() or old_end < end:
+                while gone == len(left) and last + 1 < len(self.slots):
+                    last, left, gone = last + 1, self.slots[last + 1][0].tolist(), 0
+                if gone == len(left):
                     break
-        self.encoded += len(counts)
-        same = len(counts) == last - first
-        self.counts = np.concatenate((self.counts[:first], np.array(counts, np.int64), self.counts[last:]))
-        self.ends = np.concatenate((self.ends[:first], np.array(ends, np.int64), self.ends[last:] + shift))
-        leaf = first // LEAF
-        size = len(self.tree) // 2
-        leaves = -(-len(self.counts) // LEAF)
-        if leaves > size:
-            self._build(self._leaves(0))
+                old_end += left[gone]
+                gone += 1
+            if old_end >= end and old_end + shift == m.end():
+                met = True
+                break
+        if not met:  # to the end of the text
+            last, left = len(self.slots) - 1, self.slots[-1][0].tolist()
+            gone = len(left)
+        elif last == first:
+            gone += keep
+        self.encoded += len(sizes)
+        a, b = self.slots[first], self.slots[last]
+        sizes = [*a[0][:keep].tolist(), *sizes, *b[0][gone:].tolist()]
+        tokens = [*a[1][:keep].tolist(), *tokens, *b[1][gone:].tolist()]
+        room = last - first + 1
+        if len(sizes) > room * SLOT * GROWN:
+            rest = self.slots[:first], self.slots[last + 1 :]
+            self._deal([x for s, _ in rest[0] for x in s.tolist()] + sizes + [x for s, _ in rest[1] for x in s.tolist()], [x for _, t in rest[0] for x in t.tolist()] + tokens + [x for _, t in rest[1] for x in t.tolist()])
+            self.updated += self.tree.shape[1]
             return
-        # Equal numbers of pre-tokens move nothing; else the leaves behind the edit are summed anew (not encoded).
-        stop = min(leaves, (first + len(counts)) // LEAF + 1) if same else size
-        fresh = self._leaves(leaf)[: stop - leaf]
-        self.tree[size + leaf : size + stop] = 0
-        self.tree[size + leaf : size + leaf + len(fresh)] = fresh
-        a, b = (size + leaf) // 2, (size + max(stop, leaf + 1) - 1) // 2
-        while a >= 1:
-            i = np.arange(a, b + 1)
-            self.tree[i] = self.tree[2 * i] + self.tree[2 * i + 1]
-            a, b = a // 2, b // 2
+        cut = [len(sizes) * i // room for i in range(room + 1)]
+        size = self.tree.shape[1] // 2
+        for i in range(room):
+            own = np.array(sizes[cut[i] : cut[i + 1]], np.int64), np.array(tokens[cut[i] : cut[i + 1]], np.int64)
+            self.slots[first + i] = own
+            self.tree[:, size + first + i] = own[0].sum(), own[1].sum()
+        low, high = size + first, size + last
+        self.updated += room
+        while low > 1:
+            low, high = low // 2, high // 2
+            self.tree[:, low : high + 1] = self.tree[:, 2 * low : 2 * high + 2 : 2] + self.tree[:, 2 * low + 1 : 2 * high + 2 : 2]
+            self.updated += high - low + 1
 
 
 def encoder_of(ranks: bytes) -> Encoder:
@@ -131,29 +187,85 @@ def encoder_of(ranks: bytes) -> Encoder:
     return kept[key]
 
 
-def _counted(ranks: bytes):
+#: A document with its tree.
+TREE = "doc_id long, text string, sizes array<int>, tokens array<int>, slots array<int>, tree array<int>"
+KINDS = (pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 4)
+NAMES = ("doc_id", "text", "sizes", "tokens", "slots", "tree")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(a) for a in arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((np.concatenate(arrays) if arrays else np.zeros(0)).astype(np.int32)))
+
+
+def _stored(docs: list[Counted]) -> list[pa.Array]:
+    return [pa.array([d.text for d in docs], pa.string()), *(_lists(list(c)) for c in (zip(*(d.stored() for d in docs), strict=True) if docs else [()] * 4))]
+
+
+def _taken_up(encoder: Encoder, batch: pa.RecordBatch) -> list[Counted]:
+    def arrays(name):
+        column = batch.column(name)
+        values, ends = np.asarray(column.values, np.int64), np.asarray(column.offsets)
+        return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    return [Counted(encoder, t, *a) for t, *a in zip(batch.column("text").to_pylist(), *map(arrays, NAMES[2:]), strict=True)]
+
+
+def _built(ranks: bytes):
     def run(batches):
         encoder = encoder_of(ranks)
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                doc = Counted(encoder, text)
-                before, pieces = doc.total, len(doc.counts)
+            docs = [Counted(encoder, t) for t in batch.column("text").to_pylist()]
+            more = [batch.column(c) for c in batch.schema.names if c not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_stored(docs), *more], names=[*NAMES, *[c for c in batch.schema.names if c not in ("doc_id", "text")]])
+
+    return run
+
+
+def _edited(ranks: bytes, whole: bool):
+    def run(batches):
+        encoder = encoder_of(ranks)
+        for batch in batches:
+            docs, out = _taken_up(encoder, batch), []
+            for doc, edits in zip(docs, batch.column("edits").to_pylist(), strict=True):
+                before, pieces = doc.total, sum(len(a) for a, _ in doc.slots)
                 for e in edits or []:
-                    doc.edit(e["at"] or 0, (e["at"] or 0) + (e["size"] or 0), e["new"] or "")
-                out.append((before, doc.total, pieces, doc.encoded))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], pa.int64()) for i in range(4))], names=["doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded"])
+                    at = e["at"] or 0
+                    doc.edit(at, at + (e["size"] or 0), e["new"] or "")
+                out.append((before, doc.total, pieces, doc.encoded, doc.updated))
+            counts = [pa.array([r[i] for r in out], pa.int64()) for i in range(5)]
+            names = ["n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", "n_updated"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(_stored(docs) if whole else []), *counts], names=[*(NAMES if whole else NAMES[:1]), *names])
 
     return run
 
 
-def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_edited, n_pieces (pre-tokens before), n_encoded (pre-tokens encoded for the edits) of each row of docs (doc_id, text, edits).
+EDITS = "array<struct<at:int,size:int,new:string>>"
+COUNTS = "n_tokens long, n_tokens_edited long, n_pieces long, n_encoded long, n_updated long"
 
-    edits: array<struct<at int, size int, new string>>, made in order, in code points; null is none. ranks_path: a rank
-    file (about 1 MB) that the driver reads and sends along.
+
+def _ranks(path: str) -> bytes:
+    """A rank file (about 1 MB), read by the driver and sent along."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def build_trees(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """TREE (a document's tree) of each row of docs (doc_id, text), and its edits if it has such a column."""
+    kept = [F.col("edits").cast(EDITS).alias("edits")] if "edits" in docs.columns else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
+    return docs.mapInArrow(_built(_ranks(ranks_path)), TREE + (f", edits {EDITS}" if kept else ""))
+
+
+def apply_edits(trees: DataFrame, ranks_path: str, whole: bool = True) -> DataFrame:
+    """The trees of the edited texts (TREE; not whole: doc_id alone), with COUNTS, of each row of trees (TREE and edits).
+
+    n_tokens is before the edits, n_tokens_edited after; n_pieces is the number of pre-tokens before, n_encoded how many were
+    encoded for the edits, n_updated how many sums were changed. edits: made in order, in code points; null is none.
     """
-    with open(ranks_path, "rb") as f:
-        ranks = f.read()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast("array<struct<at:int,size:int,new:string>>").alias("edits"))
-    return docs.mapInArrow(_counted(ranks), "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_encoded long")
+    return trees.select(*NAMES, "edits").mapInArrow(_edited(_ranks(ranks_path), whole), f"{TREE if whole else 'doc_id long'}, {COUNTS}")
+
+
+def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id and COUNTS of each row of docs (doc_id, text, edits): its tree is built and kept as a table, then edited."""
+    return apply_edits(materialise(build_trees(docs, ranks_path), "token-trees"), ranks_path, whole=False)
