@@ -21,7 +21,7 @@ def test_fingerprints_of_null_and_repeated_ids(spark):
     say = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
     rows = [(None, say("a", 40)), (None, say("b", 50)), (5, say("c", 60)), (4, say("d", 70)), (4, say("e", 80)), (4, say("e", 80)), (3, say("f", 90))]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    plain = {r.text: r.f for r in d.select("text", fingerprints.digits(fingerprints.fingerprint(F.col("text"))).alias("f")).collect()}
+    plain = {r.text: r.f for r in fingerprints.fingerprints(d.select("text").distinct().withColumn("key", F.col("text")), "key").select(F.col("key").alias("text"), fingerprints.digits(F.col("fp")).alias("f")).collect()}
     after = {5: say("d", 70), 4: say("f", 90), 3: min(say("a", 40), say("b", 50)), None: say("c", 60)}
     want = sorted((i or 0, (t[: len(t) - len(t) // 3] + after[i][: len(t) // 3]), plain[t]) for i, t in rows)
     assert sorted((r.doc_id or 0, r.edited, r.fingerprint) for r in fingerprints.fingerprint_edits(d).collect()) == want

@@ -35,7 +35,7 @@ def _frequencies(batches):
 def _vectors(batches):
     for batch in batches:
         rows = [L.char_grams(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a.astype(np.uint16).tobytes() for a, _ in rows], pa.binary()), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for _, c in rows], pa.binary())], names=["lang", "grams", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a.astype(np.uint16).tobytes() for a, _ in rows], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in rows], pa.binary())], names=["lang", "grams", "counts"])
 
 
 def _weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def identify_language(docs: DataFrame, folds: int = 3, fold: int = 1, per_lang:
         share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, per_lang / sizes[lang])))])
         draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
         sample = known.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_vectors, "lang string, grams binary, counts binary").collect()
-        rows = [(np.frombuffer(r.grams, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint16).astype(float)) for r in sample]
+        rows = [(np.frombuffer(r.grams, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32).astype(float)) for r in sample]
         rows = [(at, _weighted(at, c, idf)) for at, c in rows]
         y = np.array([langs.index(r.lang) for r in sample], int)
         order = np.array(sorted(range(len(y)), key=lambda i: (sample[i].grams, sample[i].counts, y[i])), int)

@@ -40,7 +40,7 @@ def _features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
 def _vectors(batches):
     for batch in batches:
         rows = _features(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array([a.astype(np.uint16).tobytes() for a, _ in rows], pa.binary()), pa.array([x.astype(np.float16).tobytes() for _, x in rows], pa.binary())], names=["doc_id", "domain", "at", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array([a.astype(np.uint16).tobytes() for a, _ in rows], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())], names=["doc_id", "domain", "at", "x"])
 
 
 def _posteriors(w: np.ndarray):
@@ -70,7 +70,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, max_train: int = 2_000) -> tu
     sample = docs.join(small(drawn), "doc_id").select("doc_id", "domain", "text").mapInArrow(_vectors, "doc_id long, domain string, at binary, x binary").collect() if domains else []
     sample.sort(key=lambda r: (r.doc_id, r.domain))
     domains = sorted({r.domain for r in sample}) or ["all"]
-    rows = [(np.frombuffer(r.at, np.uint16).astype(int), np.frombuffer(r.x, np.float16).astype(float)) for r in sample]
+    rows = [(np.frombuffer(r.at, np.uint16).astype(int), np.frombuffer(r.x, np.float32).astype(float)) for r in sample]
     width = (1 << L.BITS) + L.statistics([""]).shape[1] + 1
     w = L.fit_ftrl(rows, np.array([domains.index(r.domain) for r in sample], int), len(domains), width, epochs=8)
     # Rows were drawn evenly; the constant's weights take the domains' shares among all labels.

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import learners as L
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import materialise, small
 
 
 def held_out(column: str, folds: int, fold: int) -> Column:
@@ -52,7 +52,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
     # A hash of the id draws the rows: a sorted limit would send max_train rows of each task to the driver.
     share = min(1.0, max_train / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = stats.join(drawn, "doc_id").toPandas().sort_values("doc_id", ignore_index=True)
+    # The drawn ids are few whatever the input: statistics are not shuffled to meet them.
+    train = stats.join(small(drawn), "doc_id").toPandas().sort_values("doc_id", ignore_index=True)
     x = np.array(train["stats"].tolist(), np.float32).reshape(len(train), -1) if len(train) else np.zeros((0, 1), np.float32)
     model = L.fit_trees(x, (train["quality"].to_numpy(float) >= 0.5).astype(float))
     return stats.mapInArrow(_scored(model), "doc_id long, score double").select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score")
