@@ -22,6 +22,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ SLOT, GROWN = 32, 8
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens whose counts a worker remembers; beyond it, it begins anew.
 REMEMBERED = 200_000
+#: Bytes of text whose documents are held at once, about.
+PIECE_BYTES = 1 << 20
 
 
 class Encoder:
@@ -58,8 +61,9 @@ class Encoder:
 class Counted:
     """A text with the segment tree over its pre-tokens.
 
-    slots: for each slot the code points and the tokens of its pre-tokens. tree: two arrays of 2 * size sums (code
-    points, tokens); node i has the children 2 * i and 2 * i + 1, and slot j is node size + j.
+    sizes, tokens: code points and tokens of all pre-tokens as they were counted, slot after slot, cut at `bounds`;
+    `changed` has those of the slots that edits have changed. tree: two arrays of 2 * size sums (code points, tokens);
+    node i has the children 2 * i and 2 * i + 1, and slot j is node size + j.
     """
 
     def __init__(self, encoder: Encoder, text: str | None, sizes: np.ndarray | None = None, tokens: np.ndarray | None = None, slots: np.ndarray | None = None, tree: np.ndarray | None = None) -> None:
@@ -68,38 +72,56 @@ class Counted:
         self.encoded = self.updated = 0
         if tree is None:
             pieces = encoder.pattern.findall(self.text)
-            self._deal([len(p) for p in pieces], [encoder.count(p) for p in pieces])
+            self._deal(list(map(len, pieces)), list(map(encoder.count, pieces)))
             return
-        ends = np.cumsum(slots)
-        self.slots = [(sizes[e - k : e], tokens[e - k : e]) for e, k in zip(ends.tolist(), slots.tolist(), strict=True)]
+        self.sizes, self.tokens, self.changed = sizes, tokens, {}
+        self.bounds = np.concatenate(([0], np.cumsum(slots)))
         self.tree = tree.reshape(2, -1).copy()
 
     def _deal(self, sizes: list[int], tokens: list[int]) -> None:
         """All pre-tokens to new slots, with a new tree."""
-        self.slots = [(np.array(sizes[i : i + SLOT], np.int64), np.array(tokens[i : i + SLOT], np.int64)) for i in range(0, len(sizes), SLOT)] or [(np.zeros(0, np.int64),) * 2]
-        size = 1 << (len(self.slots) - 1).bit_length()
+        self.sizes, self.tokens, self.changed = np.array(sizes, np.int32), np.array(tokens, np.int32), {}
+        starts = np.arange(0, len(sizes), SLOT)
+        self.bounds = np.append(starts, len(sizes)) if len(sizes) else np.zeros(2, np.int64)
+        size = 1 << (len(self.bounds) - 2).bit_length()
         self.tree = np.zeros((2, 2 * size), np.int64)
-        self.tree[:, size : size + len(self.slots)] = [[a.sum() for a, _ in self.slots], [b.sum() for _, b in self.slots]]
+        if len(sizes):
+            self.tree[:, size : size + len(starts)] = np.add.reduceat(self.sizes, starts), np.add.reduceat(self.tokens, starts)
         while size > 1:
             size //= 2
             self.tree[:, size : 2 * size] = self.tree[:, 2 * size : 4 * size : 2] + self.tree[:, 2 * size + 1 : 4 * size : 2]
 
+    def _slot(self, j: int) -> tuple[list[int], list[int]]:
+        a, b = self.bounds[j : j + 2]
+        return self.changed.get(j) or (self.sizes[a:b].tolist(), self.tokens[a:b].tolist())
+
+    def _parts(self, which: int) -> list:
+        """The sizes (0) or tokens (1) of all pre-tokens, in parts."""
+        old, at, out = (self.sizes, self.tokens)[which], 0, []
+        for j in sorted(self.changed):
+            out += [old[at : self.bounds[j]], self.changed[j][which]]
+            at = self.bounds[j + 1]
+        return [*out, old[at:]]
+
     def stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """sizes, tokens, slots (how many pre-tokens each has) and tree, as `__init__` takes them."""
-        return np.concatenate([a for a, _ in self.slots]), np.concatenate([b for _, b in self.slots]), np.array([len(a) for a, _ in self.slots], np.int64), self.tree.ravel()
+        slots = np.diff(self.bounds)
+        for j, (own, _) in self.changed.items():
+            slots[j] = len(own)
+        return np.concatenate(self._parts(0)), np.concatenate(self._parts(1)), slots, self.tree.ravel()
 
     @property
     def total(self) -> int:
         return int(self.tree[1, 1])
 
     @property
-    def counts(self) -> np.ndarray:
-        return np.concatenate([b for _, b in self.slots])
+    def n_pieces(self) -> int:
+        return sum(map(len, self._parts(0)))
 
     @property
     def ends(self) -> np.ndarray:
         """Where each pre-token ends."""
-        return np.cumsum(np.concatenate([a for a, _ in self.slots]))
+        return np.cumsum(np.concatenate(self._parts(0)))
 
     def _slot_at(self, place: int) -> tuple[int, int]:
         """The slot that holds the code point before `place` (the first for 0), and where it begins."""
@@ -111,7 +133,7 @@ class Counted:
                 node = 2 * node + 1
             else:
                 node = 2 * node
-        return min(node - size, len(self.slots) - 1), begins
+        return min(node - size, len(self.bounds) - 2), begins
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace text[start:end] by new."""
@@ -120,14 +142,14 @@ class Counted:
         end = min(max(end, start), n)
         # The pre-token that ends at the edit may grow, and the one before it may look at that: begin with it.
         first, begins = self._slot_at(start)
-        while first and bisect.bisect_left(list(accumulate(self.slots[first][0].tolist(), initial=begins))[1:], start) < 1:
+        while first and bisect.bisect_left(list(accumulate(self._slot(first)[0], initial=begins))[1:], start) < 1:
             first -= 1
-            begins -= int(self.slots[first][0].sum())
-        ends = list(accumulate(self.slots[first][0].tolist(), initial=begins))[1:]
+            begins -= sum(self._slot(first)[0])
+        ends = list(accumulate(self._slot(first)[0], initial=begins))[1:]
         keep = max(0, bisect.bisect_left(ends, start) - 1)
         at = ends[keep - 1] if keep else begins
         # Old ends at and behind the edit, slot by slot, until the new cut meets one.
-        last, old_end, left, gone = first, at, self.slots[first][0].tolist()[keep:], 0
+        last, old_end, left, gone, n_slots = first, at, self._slot(first)[0][keep:], 0, len(self.bounds) - 1
         shift = len(new) - (end - start)
         self.text = self.text[:start] + new + self.text[end:]
         sizes, tokens = [], []
@@ -138,8 +160,8 @@ class Counted:
             if m.end() < start + len(new):
                 continue
             while old_end + shift < m.end() or old_end < end:
-                while gone == len(left) and last + 1 < len(self.slots):
-                    last, left, gone = last + 1, self.slots[last + 1][0].tolist(), 0
+                while gone == len(left) and last + 1 < n_slots:
+                    last, left, gone = last + 1, self._slot(last + 1)[0], 0
                 if gone == len(left):
                     break
                 old_end += left[gone]
@@ -148,26 +170,24 @@ class Counted:
                 met = True
                 break
         if not met:  # to the end of the text
-            last, left = len(self.slots) - 1, self.slots[-1][0].tolist()
-            gone = len(left)
+            last = n_slots - 1
+            gone = len(self._slot(last)[0])
         elif last == first:
             gone += keep
         self.encoded += len(sizes)
-        a, b = self.slots[first], self.slots[last]
-        sizes = [*a[0][:keep].tolist(), *sizes, *b[0][gone:].tolist()]
-        tokens = [*a[1][:keep].tolist(), *tokens, *b[1][gone:].tolist()]
+        a, b = self._slot(first), self._slot(last)
+        sizes, tokens = [*a[0][:keep], *sizes, *b[0][gone:]], [*a[1][:keep], *tokens, *b[1][gone:]]
         room = last - first + 1
         if len(sizes) > room * SLOT * GROWN:
-            rest = self.slots[:first], self.slots[last + 1 :]
-            self._deal([x for s, _ in rest[0] for x in s.tolist()] + sizes + [x for s, _ in rest[1] for x in s.tolist()], [x for _, t in rest[0] for x in t.tolist()] + tokens + [x for _, t in rest[1] for x in t.tolist()])
+            all_sizes, all_tokens = ([x for j in range(first) for x in self._slot(j)[i]] + own + [x for j in range(last + 1, n_slots) for x in self._slot(j)[i]] for i, own in enumerate((sizes, tokens)))
+            self._deal(all_sizes, all_tokens)
             self.updated += self.tree.shape[1]
             return
         cut = [len(sizes) * i // room for i in range(room + 1)]
         size = self.tree.shape[1] // 2
         for i in range(room):
-            own = np.array(sizes[cut[i] : cut[i + 1]], np.int64), np.array(tokens[cut[i] : cut[i + 1]], np.int64)
-            self.slots[first + i] = own
-            self.tree[:, size + first + i] = own[0].sum(), own[1].sum()
+            own = self.changed[first + i] = sizes[cut[i] : cut[i + 1]], tokens[cut[i] : cut[i + 1]]
+            self.tree[:, size + first + i] = sum(own[0]), sum(own[1])
         low, high = size + first, size + last
         self.updated += room
         while low > 1:
@@ -198,6 +218,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((np.concatenate(arrays) if arrays else np.zeros(0)).astype(np.int32)))
 
 
+def pieces(batches):
+    """Batches of about PIECE_BYTES of text: no more documents are held at once."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE_BYTES)) + 1
+        for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _stored(docs: list[Counted]) -> list[pa.Array]:
     return [pa.array([d.text for d in docs], pa.string()), *(_lists(list(c)) for c in (zip(*(d.stored() for d in docs), strict=True) if docs else [()] * 4))]
 
@@ -205,7 +234,7 @@ def _stored(docs: list[Counted]) -> list[pa.Array]:
 def _taken_up(encoder: Encoder, batch: pa.RecordBatch) -> list[Counted]:
     def arrays(name):
         column = batch.column(name)
-        values, ends = np.asarray(column.values, np.int64), np.asarray(column.offsets)
+        values, ends = np.asarray(column.values), np.asarray(column.offsets)
         return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     return [Counted(encoder, t, *a) for t, *a in zip(batch.column("text").to_pylist(), *map(arrays, NAMES[2:]), strict=True)]
@@ -214,7 +243,7 @@ def _taken_up(encoder: Encoder, batch: pa.RecordBatch) -> list[Counted]:
 def _built(ranks: bytes):
     def run(batches):
         encoder = encoder_of(ranks)
-        for batch in batches:
+        for batch in pieces(batches):
             docs = [Counted(encoder, t) for t in batch.column("text").to_pylist()]
             more = [batch.column(c) for c in batch.schema.names if c not in ("doc_id", "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_stored(docs), *more], names=[*NAMES, *[c for c in batch.schema.names if c not in ("doc_id", "text")]])
@@ -225,14 +254,14 @@ def _built(ranks: bytes):
 def _edited(ranks: bytes, whole: bool):
     def run(batches):
         encoder = encoder_of(ranks)
-        for batch in batches:
+        for batch in pieces(batches):
             docs, out = _taken_up(encoder, batch), []
             for doc, edits in zip(docs, batch.column("edits").to_pylist(), strict=True):
-                before, pieces = doc.total, sum(len(a) for a, _ in doc.slots)
+                before, n_pieces = doc.total, doc.n_pieces
                 for e in edits or []:
                     at = e["at"] or 0
                     doc.edit(at, at + (e["size"] or 0), e["new"] or "")
-                out.append((before, doc.total, pieces, doc.encoded, doc.updated))
+                out.append((before, doc.total, n_pieces, doc.encoded, doc.updated))
             counts = [pa.array([r[i] for r in out], pa.int64()) for i in range(5)]
             names = ["n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", "n_updated"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(_stored(docs) if whole else []), *counts], names=[*(NAMES if whole else NAMES[:1]), *names])
