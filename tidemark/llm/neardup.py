@@ -68,7 +68,7 @@ def _sets(words: int):
 
 
 def regions(batches, keys: int):
-    """Runs of sorted rows that are equal in the first `keys` columns: the other columns as lists. A run is cut at REGION rows or REGION_BYTES of binary values."""
+    """Runs of sorted rows that are equal in the first `keys` columns: the other columns as lists. A run is cut at REGION rows or REGION_BYTES of binary values. Single rows have no pairs and are left out."""
     held: list[tuple] = []
     size = 0
 
@@ -78,11 +78,12 @@ def regions(batches, keys: int):
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if held and (row[:keys] != held[0][:keys] or len(held) >= REGION or size >= REGION_BYTES):
-                yield take()
+                if len(held) > 1:
+                    yield take()
                 held, size = [], 0
             held.append(row)
             size += sum(len(v) for v in row[keys:] if isinstance(v, bytes))
-    if held:
+    if len(held) > 1:
         yield take()
 
 
@@ -94,12 +95,17 @@ def _candidates(least: float):
     """Pairs (a < b) to confirm, of regions that are no crowds."""
 
     def run(batches):
+        out: set[tuple] = set()
         for ids, sigs in regions(batches, 2):
-            sig, out = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), set()
+            sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
             for i in range(len(ids) - 1):
                 for j in np.flatnonzero((sig[i + 1 :] == sig[i]).mean(1) >= least) + i + 1:
-                    out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-            yield _pairs([p for p in out if p[0] != p[1]])
+                    if ids[i] != ids[j]:
+                        out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if len(out) > 50_000:
+                yield _pairs(list(out))
+                out.clear()
+        yield _pairs(list(out))
 
     return run
 
