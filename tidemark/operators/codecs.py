@@ -177,3 +177,117 @@ def measure(df: DataFrame, s: S.Series, codecs: Sequence[Codec], column: str) ->
     back = decode(coded.withColumn("__code", F.col(column)), s, codecs, headers)
     size = lambda c: F.sum(bits.bit_length(bits.zigzag(F.col(c).cast("bigint")))).cast("bigint")
     return back.groupBy(*s.keys).agg(F.count("*").alias("n_rows"), F.count_if(~F.col(column).eqNullSafe(F.col("__raw"))).alias("mismatches"), size("__raw").alias("raw_bits"), size("__code").alias("code_bits"))
+
+
+class LearnedSum(ColumnSum):
+    """Residual of an integer column from a weighted sum of others, whose weights (in 256ths) are the least-squares ones: one aggregation."""
+
+    def __init__(self, target: str, sources: Sequence[str]):
+        super().__init__(target, dict.fromkeys(sources, 0))
+
+    def train(self, df, s, names):
+        import numpy as np
+
+        xs = list(self.weights)
+        cells = [F.sum(F.col(a).cast("double") * F.col(b)).alias(f"{a}*{b}") for a in xs for b in (*xs, *self.columns)]
+        row = df.agg(*cells).first()
+        m = np.array([[row[f"{a}*{b}"] or 0.0 for b in xs] for a in xs])
+        y = np.array([row[f"{a}*{self.columns[0]}"] or 0.0 for a in xs])
+        w = np.linalg.lstsq(m, y, rcond=None)[0]
+        return {"weights": {c: int(round(256 * v)) for c, v in zip(xs, w, strict=True)}}
+
+    def _guess(self, header: dict) -> Column:
+        return F.floor(sum((F.col(c) * w for c, w in header["weights"].items()), F.lit(0)) / 256).cast("bigint")
+
+    def forward(self, s, name, header):
+        return F.col(name) - self._guess(header)
+
+    def steps_back(self, s, name, header):
+        return [F.col(name) + self._guess(header)]
+
+
+class Best(Codec):
+    """For each column the pipeline (a sequence of codecs on it) of least loss, the first of equal ones; all losses come from one aggregation. The header names the choice."""
+
+    allow = ("anyint",)
+
+    def __init__(self, pipelines: dict[str, Callable[[list[str]], Sequence[Codec]]], columns=None, loss: str = "l1"):
+        super().__init__(columns)
+        self.pipelines, self.loss = pipelines, loss
+
+    def encode(self, df, s):
+        names = [n for n in select_columns(df, self.columns, self.allow, self.deny) if n not in s.keys + s.order]
+        copies = df.select(*dict.fromkeys((*s.keys, *s.order)), *[F.col(n).alias(f"{n}__{p}") for n in names for p in self.pipelines])
+        for n in names:
+            for p, make in self.pipelines.items():
+                copies, _ = encode(copies, s, make([f"{n}__{p}"]))
+        row = copies.agg(*[S.LOSSES[self.loss](F.col(f"{n}__{p}")).alias(f"{n}__{p}") for n in names for p in self.pipelines]).first() if names else {}
+        chosen = {n: min(self.pipelines, key=lambda p: (row[f"{n}__{p}"] or 0, list(self.pipelines).index(p))) for n in names}
+        headers = {}
+        for n, p in chosen.items():
+            df, headers[n] = encode(df, s, self.pipelines[p]([n]))
+        return df, {"columns": names, "choice": chosen, "headers": headers}
+
+    def decode(self, df, s, header):
+        for n, p in reversed(header["choice"].items()):
+            df = decode(df, s, self.pipelines[p]([n]), header["headers"][n])
+        return df
+
+
+class SeriesBytes:
+    """A series' column as compressed bytes: shuffled by byte or not, then bzip2, zstd or nothing. `encode` gives keys, n_rows, payload; `decode` keys, i and the column."""
+
+    def __init__(self, column: str, how: str = "zstd", shuffle: bool = True, dtype: str = "<i8"):
+        if how not in ("none", "bzip2", "zstd"):
+            raise ValueError(how)
+        self.column, self.how, self.shuffle, self.dtype = column, how, shuffle, dtype
+
+    def pack(self, x) -> bytes:
+        import bz2
+
+        import numpy as np
+
+        raw = np.asarray(x).astype(self.dtype)
+        data = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), -1).T).tobytes() if self.shuffle else raw.tobytes()
+        if self.how == "zstd":
+            import zstandard
+
+            return zstandard.ZstdCompressor().compress(data)
+        return bz2.compress(data) if self.how == "bzip2" else data
+
+    def unpack(self, data: bytes):
+        import bz2
+
+        import numpy as np
+
+        if self.how == "zstd":
+            import zstandard
+
+            data = zstandard.ZstdDecompressor().decompress(data)
+        elif self.how == "bzip2":
+            data = bz2.decompress(data)
+        size = np.dtype(self.dtype).itemsize
+        raw = np.frombuffer(data, np.uint8)
+        return np.ascontiguousarray(raw.reshape(size, -1).T if self.shuffle else raw.reshape(-1, size)).view(self.dtype).ravel()
+
+    def encode(self, df: DataFrame, s: S.Series) -> DataFrame:
+        import pandas as pd
+
+        def run(pdf):
+            x = pdf.sort_values(list(s.order))[self.column].to_numpy()
+            return pd.DataFrame([[*pdf[list(s.keys)].iloc[0], len(x), self.pack(x)]], columns=[*s.keys, "n_rows", "payload"])
+
+        keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in s.keys)
+        return df.select(*dict.fromkeys((*s.keys, *s.order, self.column))).groupBy(*s.keys).applyInPandas(run, f"{keys}, n_rows long, payload binary")
+
+    def decode(self, packed: DataFrame, s: S.Series) -> DataFrame:
+        import pandas as pd
+
+        def run(batches):
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    x = self.unpack(row.payload)
+                    yield pd.DataFrame({**{k: [getattr(row, k)] * len(x) for k in s.keys}, "i": range(len(x)), self.column: x.astype("int64")})
+
+        keys = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in s.keys)
+        return packed.select(*s.keys, "payload").mapInPandas(run, f"{keys}, i long, {self.column} long")

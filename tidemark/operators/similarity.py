@@ -1,7 +1,7 @@
 """Vector distances and neighbour search: queries in blocks against all rows.
 
-Queries are a stated, bounded set and are sent to all rows (checked size); per query the
-least distances are kept by a partial top-k before any shuffle.
+Queries are a stated set and are sent to all rows in blocks of a bounded number of bytes; per query
+the least distances are kept by a partial top-k before any shuffle.
 """
 
 from __future__ import annotations
@@ -37,15 +37,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-MEASURES = {"squared": squared, "manhattan": manhattan, "dot": dot, "hamming": hamming, "cosine": cosine}
+def correlation(a: Column, b: Column) -> Column:
+    """The cosine of both less their means; 0 if either is constant."""
+    centred = lambda v: F.transform(v.cast("array<double>"), lambda x: x - F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda s, y: s + y) / F.size(v))
+    return cosine(centred(a), centred(b))
 
 
-def distances(rows: DataFrame, queries: DataFrame, measure: str = "squared", most_queries: int = 100_000) -> DataFrame:
-    """query_id, id, dist of rows (id, vec) against queries (id, vec)."""
+MEASURES = {"correlation": correlation, "squared": squared, "manhattan": manhattan, "dot": dot, "hamming": hamming, "cosine": cosine}
+
+
+def distances(rows: DataFrame, queries: DataFrame, measure: str = "squared", block_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, id, dist of rows (id, vec) against queries (id, vec). Queries of more than block_bytes go in blocks, each in a broadcast of its own."""
     q = queries.select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
-    if q.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; run them in blocks")
-    return rows.join(F.broadcast(q), F.lit(True)).select("query_id", "id", MEASURES[measure](F.col("vec"), F.col("query")).alias("dist"))
+    size = q.agg(F.sum(F.size("query") * 8 + 32).alias("b")).first().b or 0
+    blocks = -(-size // block_bytes) or 1
+    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [q]
+    out = None
+    for part in parts:
+        found = rows.join(F.broadcast(part), F.lit(True)).select("query_id", "id", MEASURES[measure](F.col("vec"), F.col("query")).alias("dist"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:

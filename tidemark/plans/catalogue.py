@@ -477,3 +477,5 @@ QUERIES["semi_join"] = Query(lambda spark, d: table(spark, d, "customer").join(t
 QUERIES["anti_join"] = Query(lambda spark, d: table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 QUERIES["set_except"] = Query(lambda spark, d: table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
 QUERIES["set_intersect"] = Query(lambda spark, d: table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))), "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+
+from tidemark.plans import sequences  # noqa: E402, F401  (registers its queries)

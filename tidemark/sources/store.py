@@ -29,7 +29,7 @@ class TableStore:
 
     def ids(self) -> list[str]:
         fs, path = self._fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if not s.getPath().getName().startswith("_")) if fs.exists(path) else []
 
     def __len__(self) -> int:
         return len(self.ids())
@@ -47,14 +47,19 @@ class TableStore:
         # Written aside first, so that a table may be replaced by what is read from it.
         writer.save(f"{self.root}/_new_{name}")
         at = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs.delete(at(self._path(name)), True)
-        fs.rename(at(f"{self.root}/_new_{name}"), at(self._path(name)))
+        # The old table goes last: at any time one of the three folders is whole.
+        old, own = at(f"{self.root}/_old_{name}"), at(self._path(name))
+        if fs.exists(own):
+            fs.delete(old, True)
+            fs.rename(own, old)
+        fs.rename(at(f"{self.root}/_new_{name}"), own)
+        fs.delete(old, True)
 
     def upsert_columns(self, name: str, keys: Sequence[str], df: DataFrame) -> None:
-        """Replace or add the columns of df, joined by keys; rows that df lacks get nulls in them."""
+        """Replace or add the columns of df, joined by keys; rows that only one of both has get nulls in the other's columns."""
         new = [c for c in df.columns if c not in keys]
         old = self.read(name).drop(*new)
-        self.write(name, old.join(df, list(keys), "left"))
+        self.write(name, old.join(df, list(keys), "full"))
 
     def remove(self, name: str, columns: Sequence[str] | None = None) -> None:
         if columns is None:
