@@ -384,20 +384,21 @@ def test_windows_are_told_apart_by_both_hashes():
     assert substrings._isin(np.array([[5, 2], [5, 3], [5, 1], [9, 9], [1, 1]], np.uint64), a).tolist() == [True, False, True, True, False]
 
 
-@pytest.mark.parametrize("n", [8, 9, 10, 11, 12, 13, 14])
-def test_short_items_with_substitutions(spark, n):
+def test_short_items_with_substitutions(spark):
     from itertools import combinations
 
-    item = [f"k{j}" for j in range(n)]
-    changes = [(), *combinations(range(n), 1), *combinations(range(n), 2), *list(combinations(range(n), 3))[::7]]
-    docs = [(i, " ".join(["pre"] * (i % 3) + [w + "x" if j in bad else w for j, w in enumerate(item)] + ["post", "k3"])) for i, bad in enumerate(changes)]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    items, docs = {n: [f"k{n}x{j}" for j in range(n)] for n in range(8, 15)}, []
+    for n, item in items.items():
+        for bad in [(), *combinations(range(n), 1), *combinations(range(n), 2), *list(combinations(range(n), 3))[::7]]:
+            docs.append((len(docs), n, ["pre"] * (len(docs) % 3) + [w + "x" if j in bad else w for j, w in enumerate(item)] + ["post", f"k{n}x3"]))
+    d = spark.createDataFrame([(i, " ".join(words)) for i, _, words in docs], "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
 
-    def hit(i):
-        words, window = docs[i][1].split(), min(n, 13)
+    def hit(n, words):
+        window, item = min(n, 13), items[n]
         return any(sum(words[s + a + j] == item[a + j] for j in range(window) if 0 <= s + a + j < len(words)) >= window - (2 if n >= 10 else 0) for s in range(-n, len(words)) for a in range(n - window + 1))
 
-    assert {r.doc_id for r in decontaminate.contaminated(d, b).collect()} == {i for i in range(len(docs)) if hit(i)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == {(i, n) for i, n, words in docs if hit(n, words)}
 
 
 def test_long_texts_and_frequent_seeds(spark):

@@ -31,12 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. An enclosing `scratch` removes it."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. An enclosing `scratch` removes it, if it is not to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +48,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch():
-    """Tables written inside are removed at the end. What is kept has to be written outside of it, or before by a longer-lived scope."""
+    """Tables written inside are removed at the end, but for those to keep."""
     _scopes.append([])
     try:
         yield
