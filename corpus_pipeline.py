@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents. An
 empty text is left to the quality filter; a document that loses all lines stays, with an
-empty text. A row with a null id is never dropped.
+empty text. An id stands for one document: a stage that rejects it drops all rows of it. A row
+with a null id is never dropped. Tables that a stage writes on its way are removed after it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lines, mixing, neardup, quality
 from tidemark.llm.queries import TARGETS, domain_labels
-from tidemark.llm.shared import materialise, small, table
+from tidemark.llm.shared import materialise, scratch, small, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -53,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialise(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch():
+            docs = materialise(stage(spark, docs, sf_dir), name, keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
