@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors. An enclosing `scratch` removes it, if it is not to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if _scopes and not keep:
         _scopes[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
