@@ -29,3 +29,10 @@ def test_elementwise_divides_by_zero_and_below_it(spark, made):
     held(spark, d, "elementwise")  # the 0 lies where the SQL does not look
     got = QUERIES["elementwise"].run(spark, made([8, 9, 0])).first()
     assert (got["over"], got["plus"]) == ("1,0", "8,18,8")
+
+
+def test_sliding_products_of_a_series_that_begins_with_zeros(spark, made):
+    d = made([0, 0, 300, 100], [500, 0, 0, 0, 0, 0, 0, 0, 0])
+    held(spark, d, "sliding_products")
+    got = QUERIES["sliding_products"].run(spark, d)
+    assert got.where("isnan(cosine)").count() == 2 + 3 and got.where("cosine IS NULL").count() == 0
