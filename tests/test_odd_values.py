@@ -1,9 +1,11 @@
 """Queries on made-up events: zeros, values over 16 bits, ties."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from tests.oracle import compare
+from tidemark.operators import learned
 from tidemark.plans.catalogue import QUERIES
 
 
@@ -36,3 +38,20 @@ def test_sliding_products_of_a_series_that_begins_with_zeros(spark, made):
     held(spark, d, "sliding_products")
     got = QUERIES["sliding_products"].run(spark, d)
     assert got.where("isnan(cosine)").count() == 2 + 3 and got.where("cosine IS NULL").count() == 0
+
+
+def test_ranks_of_symbols_past_one_byte(spark, made):
+    held(spark, made([70_000, 100, 70_000, 66_000, 0, 9_000_000_000]), "rank_roundtrip")
+    x = np.array([3, 0, 3, 300, 1, 0, 10**12, 300])
+    ranks = learned.adaptive_ranks(x)
+    assert ranks.tolist() == [3, 1, 1, 300, 3, 1, 10**12, 3]
+    assert learned.adaptive_ranks(ranks, decode=True).tolist() == x.tolist()
+
+
+def test_ranks_are_those_of_a_fixed_alphabet():
+    x = np.random.default_rng(1).integers(0, 40, 400)
+    counts, want = np.zeros(256, np.int64), []
+    for v in x:
+        want.append((counts > counts[v]).sum() + (counts[:v] == counts[v]).sum())
+        counts[v] += 1
+    assert learned.adaptive_ranks(x).tolist() == want
