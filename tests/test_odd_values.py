@@ -6,6 +6,7 @@ import pytest
 
 from tests.oracle import compare
 from tidemark.operators import learned
+from tidemark.operators import recurrences as R
 from tidemark.plans.catalogue import QUERIES
 
 
@@ -55,3 +56,13 @@ def test_ranks_are_those_of_a_fixed_alphabet():
         want.append((counts > counts[v]).sum() + (counts[:v] == counts[v]).sum())
         counts[v] += 1
     assert learned.adaptive_ranks(x).tolist() == want
+
+
+def test_packed_bytes_of_values_past_their_bits(spark, made):
+    d = made([70_000, 1, 65_536, 131_071, 0, 0, 0, 0, 0, 70_000], [9_000_000_000_000, *[5] * 16], [-100] * 20, [1, 2, 3])
+    held(spark, d, "binary_codec_roundtrip")
+    far = np.array([2**63 - 1, -(2**63), 0, 7, -1, 2**40, 65_535, 65_536, 3])
+    for x, bits in ((far, 64), (abs(far[3:]), 64), (far[6:], 32), (far[6:7], 16)):
+        data = R.pack(x)
+        assert int.from_bytes(data[6:8], "little") == bits
+        assert R.unpack(data).ravel().tolist() == x.tolist()
