@@ -66,3 +66,9 @@ def test_packed_bytes_of_values_past_their_bits(spark, made):
         data = R.pack(x)
         assert int.from_bytes(data[6:8], "little") == bits
         assert R.unpack(data).ravel().tolist() == x.tolist()
+
+
+def test_forecast_of_values_past_its_bits(spark, made):
+    d = made([70_000, 1, 65_536, 131_071, 0, 0, 0, 0, 0, 70_000], [9_000_000_000_000, *[5] * 16], [-100] * 20, [1, 2, 3])
+    for name in ("fire_roundtrip", "fire_encode"):
+        held(spark, d, name)
