@@ -83,6 +83,6 @@ def same(spark, d: str, name: str) -> None:
         assert list(map(repr, a)) == list(map(repr, b)), c
 
 
-@pytest.mark.parametrize("name", ["math_functions"])
+@pytest.mark.parametrize("name", ["math_functions", "math_more"])
 def test_logarithms_of_zero_and_below(spark, made, name):
     same(spark, made([0, 100, 250, 50_000], [-100, 0, 70_000]), name)
