@@ -3,10 +3,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 
 from tests.oracle import compare, connect
-from tidemark.operators import learned
+from tidemark.operators import layout, learned
 from tidemark.operators import recurrences as R
+from tidemark.plans import catalogue as C
 from tidemark.plans.catalogue import QUERIES
 
 
@@ -86,3 +88,18 @@ def same(spark, d: str, name: str) -> None:
 @pytest.mark.parametrize("name", ["math_functions", "math_more"])
 def test_logarithms_of_zero_and_below(spark, made, name):
     same(spark, made([0, 100, 250, 50_000], [-100, 0, 70_000]), name)
+
+
+WIDE = [70_000, 1, 65_536, 65_535, 0, 300, 9_000_000_000], [-100, 5, -70_000, 255, 256], [4]
+
+
+@pytest.mark.parametrize("name", ["raw_bytes"])
+def test_digests_of_values_past_two_bytes(spark, made, name):
+    same(spark, made(*WIDE), name)
+
+
+def test_raw_columns_refuse_what_they_would_cut(spark, made):
+    e = C.events(spark, made([70_000, 1]))
+    assert layout.raw_columns(e, C.USER, ["q"], "<u4").first()["payload"] == bytes([0x70, 0x11, 1, 0, 1, 0, 0, 0])
+    with pytest.raises(PythonException, match="does not hold"):
+        layout.raw_columns(e, C.USER, ["q"]).collect()
