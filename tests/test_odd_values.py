@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PythonException
 
 from tests.oracle import compare, connect
-from tidemark.operators import layout, learned
+from tidemark.operators import codecs, layout, learned
 from tidemark.operators import recurrences as R
 from tidemark.plans import catalogue as C
 from tidemark.plans.catalogue import QUERIES
@@ -93,7 +93,7 @@ def test_logarithms_of_zero_and_below(spark, made, name):
 WIDE = [70_000, 1, 65_536, 65_535, 0, 300, 9_000_000_000], [-100, 5, -70_000, 255, 256], [4]
 
 
-@pytest.mark.parametrize("name", ["raw_bytes"])
+@pytest.mark.parametrize("name", ["raw_bytes", "shuffled_digest"])
 def test_digests_of_values_past_two_bytes(spark, made, name):
     same(spark, made(*WIDE), name)
 
@@ -103,3 +103,10 @@ def test_raw_columns_refuse_what_they_would_cut(spark, made):
     assert layout.raw_columns(e, C.USER, ["q"], "<u4").first()["payload"] == bytes([0x70, 0x11, 1, 0, 1, 0, 0, 0])
     with pytest.raises(PythonException, match="does not hold"):
         layout.raw_columns(e, C.USER, ["q"]).collect()
+
+
+def test_series_bytes_refuse_what_they_would_cut():
+    assert codecs.SeriesBytes("q", "none", dtype="<u2").pack([258, 1]) == bytes([2, 1, 1, 0])
+    for x in ([70_000, 1], [-1]):
+        with pytest.raises(ValueError, match="does not hold"):
+            codecs.SeriesBytes("q", "none", dtype="<u2").pack(x)
