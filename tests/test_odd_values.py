@@ -110,3 +110,9 @@ def test_series_bytes_refuse_what_they_would_cut():
     for x in ([70_000, 1], [-1]):
         with pytest.raises(ValueError, match="does not hold"):
             codecs.SeriesBytes("q", "none", dtype="<u2").pack(x)
+
+
+def test_moments_take_the_first_of_equal_maxima(spark, made):
+    same(spark, made([5, 900, 1, 900, 900, 3], [-4, -4], [0, 0, 7]), "moments")
+    got = QUERIES["moments"].run(spark, made([5, 900, 1, 900, 900, 3], [-4, -4])).orderBy("user_id").collect()
+    assert [r["argmax"] for r in got] == [1, 6]
